@@ -169,3 +169,60 @@ def q_nearest_word(spark, sf_dir):
     used = C.lookup_words(flists, vocab).select("list_id", "word_idx").distinct()
     nn = nearest_words(cen, vocab, used)
     return nn.select("list_id", "nearest_word", _r6("nearest_sq_distance"))
+
+
+# ----------------------------------------------------------------- S1, S2, F1-F5, A5: uploads
+
+from vecfactor.sources import payloads as P  # noqa: E402
+
+_UPLOADS_SQL = O.RATINGS_CTE + """,
+up AS (
+  SELECT 'u' || "user" || '-' || (item // 50) AS upload_id, "user", count(*) AS n
+  FROM ratings GROUP BY ALL
+)"""
+
+
+@register("uploads_validate", O.with_(_UPLOADS_SQL, """
+SELECT upload_id, 'm' || "user" AS model_name,
+       CASE "user" % 7 WHEN 1 THEN 'Missing fields [''iterations'', ''lambda'']'
+                       WHEN 2 THEN 'Invalid json' WHEN 3 THEN 'Rating data invalid'
+                       WHEN 5 THEN 'Invalid data types' WHEN 6 THEN 'Empty ratings' END AS reason,
+       CASE WHEN "user" % 7 IN (0, 4) THEN 3 END AS rank,
+       CASE WHEN "user" % 7 IN (0, 4) THEN 5 END AS iterations,
+       CASE WHEN "user" % 7 IN (0, 4) THEN 0.1::DOUBLE END AS reg,
+       CASE WHEN "user" % 7 IN (0, 4) THEN n ELSE 0 END::BIGINT AS n_ratings
+FROM up"""))
+def q_uploads_validate(spark, sf_dir):
+    parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir))
+    return parsed.select("upload_id", "model_name", "reason", "rank", "iterations", "reg", "n_ratings")
+
+
+@register("ratings_flatten", O.with_(O.RATINGS_CTE, """
+SELECT 'u' || "user" || '-' || (item // 50) AS upload_id, "user", item, rating
+FROM ratings WHERE "user" % 7 IN (0, 4)"""))
+def q_ratings_flatten(spark, sf_dir):
+    parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir))
+    return P.flatten_ratings(parsed).select("upload_id", "user", "item", "rating")
+
+
+@register("ratings_last_wins", O.with_(O.RATINGS_CTE.split(",\nratings AS")[0] + """,
+d AS (SELECT "user", item, rating, ts, event_id, ts::DATE AS day, hour(ts) >= 12 AS pm FROM ev),
+g AS (SELECT "user", day, bool_or(pm) AS has_pm FROM d GROUP BY ALL)""", """
+SELECT 'd' || d."user" || '-' || strftime(d.day, '%Y%m%d') AS upload_id, d."user", d.item,
+       arg_max(d.rating, {'t': d.ts, 'e': d.event_id}) AS rating
+FROM d JOIN g ON g."user" = d."user" AND g.day = d.day
+WHERE d.pm = g.has_pm
+GROUP BY ALL"""))
+def q_ratings_last_wins(spark, sf_dir):
+    parsed = P.parse_uploads(FX.duplicate_key_uploads(spark, sf_dir))
+    return P.flatten_ratings(parsed).select("upload_id", "user", "item", "rating")
+
+
+@register("word_payloads", O.with_(O.LISTS_CTE, """
+SELECT list_id, CASE WHEN list_id % 10 = 3 THEN NULL ELSE len(words) END::BIGINT AS n_words,
+       CASE WHEN list_id % 10 = 3 THEN 'Invalid json' END AS reason
+FROM lists"""))
+def q_word_payloads(spark, sf_dir):
+    parsed = P.parse_word_lists(FX.word_payloads(spark, sf_dir))
+    return parsed.select("list_id", F.size("words").cast("long").alias("n_words"), "reason") \
+        .withColumn("n_words", F.when(F.col("reason").isNull(), F.col("n_words")))

@@ -85,3 +85,94 @@ def fixed_factors(spark: SparkSession, sf_dir: str, ids: DataFrame, kind: str) -
         vec_id = F.lit(n - 1) - F.col("id")
     return (ids.withColumn("vec_id", vec_id).join(emb, "vec_id")
             .select(F.col("id").cast("int").alias("id"), F.col("embedding").alias("features")))
+
+
+# --------------------------------------------------------------------------- uploads
+
+# fixed upload parameters of the derived payloads
+UPLOAD_RANK, UPLOAD_ITERATIONS, UPLOAD_LAMBDA = 3, 5, 0.1
+ITEMS_PER_UPLOAD = 50
+
+
+def _json_obj(entries) -> F.Column:
+    """``{"k": v, ...}`` text from array<struct<k, v>>; keys are digits, v is JSON text."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(
+        F.lit('"'), e["k"], F.lit('": '), e["v"])), ", "), F.lit("}"))
+
+
+def rating_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upload_id, model_name, payload, variant``: one upload per (user, item block).
+
+    The variant ``pmod(user, 7)`` decides the payload shape: 0 plain, 1 two
+    fields missing, 2 truncated text, 3 one rating not a number, 4 every
+    number quoted, 5 rank not a number, 6 empty ratings.
+    """
+    r = ratings(spark, sf_dir)
+    g = (r.groupBy("user", (F.col("item") / ITEMS_PER_UPLOAD).cast("int").alias("blk"))
+         .agg(F.array_sort(F.collect_list(F.struct("item", "rating"))).alias("pairs")))
+    v = F.pmod(F.col("user"), F.lit(7))
+    plain = F.transform("pairs", lambda p: F.struct(p["item"].cast("string").alias("k"),
+                                                     p["rating"].cast("string").alias("v")))
+    quoted = F.transform("pairs", lambda p: F.struct(
+        p["item"].cast("string").alias("k"), F.concat(F.lit('"'), p["rating"].cast("string"), F.lit('"')).alias("v")))
+    bad = F.transform("pairs", lambda p, i: F.struct(
+        p["item"].cast("string").alias("k"),
+        F.when(i == 0, F.lit('"x"')).otherwise(p["rating"].cast("string")).alias("v")))
+    user_s = F.col("user").cast("string")
+
+    def ratings_json(items):
+        return F.concat(F.lit('{"'), user_s, F.lit('": '), _json_obj(items), F.lit("}"))
+
+    params = F.lit(f', "rank": {UPLOAD_RANK}, "iterations": {UPLOAD_ITERATIONS}, "lambda": {UPLOAD_LAMBDA}')
+    payload = (F.when(v == 1, F.concat(F.lit('{"ratings": '), ratings_json(plain), F.lit(f', "rank": {UPLOAD_RANK}}}')))
+               .when(v == 2, F.concat(F.lit('{"ratings": '), ratings_json(plain), params))
+               .when(v == 3, F.concat(F.lit('{"ratings": '), ratings_json(bad), params, F.lit("}")))
+               .when(v == 4, F.concat(F.lit('{"ratings": '), ratings_json(quoted),
+                                      F.lit(f', "rank": "{UPLOAD_RANK}", "iterations": "{UPLOAD_ITERATIONS}", '
+                                            f'"lambda": "{UPLOAD_LAMBDA}"}}')))
+               .when(v == 5, F.concat(F.lit('{"ratings": '), ratings_json(plain),
+                                      F.lit(f', "rank": "three", "iterations": {UPLOAD_ITERATIONS}, '
+                                            f'"lambda": {UPLOAD_LAMBDA}}}')))
+               .when(v == 6, F.concat(F.lit('{"ratings": {}'), params, F.lit("}")))
+               .otherwise(F.concat(F.lit('{"ratings": '), ratings_json(plain), params, F.lit("}"))))
+    return g.select(
+        F.concat(F.lit("u"), user_s, F.lit("-"), F.col("blk").cast("string")).alias("upload_id"),
+        F.concat(F.lit("m"), user_s).alias("model_name"),
+        payload.alias("payload"), v.alias("variant"))
+
+
+def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upload_id, payload``: one upload per (user, day) carrying every event.
+
+    Items repeat in event order (later value must win); morning events sit
+    under the key ``"<user>"``, afternoon events under ``"0<user>"``, which
+    casts to the same user and so must replace the morning block whole.
+    """
+    ev = event_items(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("pm", F.hour("ts") >= 12)
+
+    def block(pm: bool):
+        return F.array_sort(F.collect_list(F.when(F.col("pm") == F.lit(pm), F.struct("ts", "event_id", "item", "rating"))))
+    g = ev.groupBy("user", "day").agg(block(False).alias("am"), block(True).alias("pmv"))
+
+    def obj(arr):
+        return _json_obj(F.transform(arr, lambda x: F.struct(x["item"].cast("string").alias("k"),
+                                                            x["rating"].cast("string").alias("v"))))
+    user_s = F.col("user").cast("string")
+    ratings_json = F.concat(F.lit("{"), F.concat_ws(
+        ", ",
+        F.when(F.size("am") > 0, F.concat(F.lit('"'), user_s, F.lit('": '), obj(F.col("am")))),
+        F.when(F.size("pmv") > 0, F.concat(F.lit('"0'), user_s, F.lit('": '), obj(F.col("pmv"))))), F.lit("}"))
+    return g.select(
+        F.concat(F.lit("d"), user_s, F.lit("-"), F.date_format("day", "yyyyMMdd")).alias("upload_id"),
+        F.concat(F.lit('{"ratings": '), ratings_json,
+                 F.lit(', "rank": 2, "iterations": 3, "lambda": 0.01}')).alias("payload"))
+
+
+def word_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``list_id, payload``: each document's tokens as a JSON array text;
+    documents with ``pmod(doc_id, 10) = 3`` get a truncated (invalid) text."""
+    lists = word_lists(spark, sf_dir)
+    js = F.to_json("words")
+    bad = F.pmod(F.col("list_id"), F.lit(10)) == 3
+    return lists.select("list_id", F.when(bad, F.expr("substr(to_json(words), 1, length(to_json(words)) - 1)"))
+                        .otherwise(js).alias("payload"))
