@@ -226,3 +226,218 @@ def q_word_payloads(spark, sf_dir):
     parsed = P.parse_word_lists(FX.word_payloads(spark, sf_dir))
     return parsed.select("list_id", F.size("words").cast("long").alias("n_words"), "reason") \
         .withColumn("n_words", F.when(F.col("reason").isNull(), F.col("n_words")))
+
+
+# ----------------------------------------------------------------- J4, M5, A3, M6: scoring
+
+from vecfactor.operators import factors as MF  # noqa: E402
+
+
+def _fixed_scored(spark, sf_dir):
+    r = FX.ratings(spark, sf_dir)
+    uf = FX.fixed_factors(spark, sf_dir, r.select(F.col("user").alias("id")), "user")
+    itf = FX.fixed_factors(spark, sf_dir, r.select(F.col("item").alias("id")), "item")
+    return MF.score_pairs(r, uf, itf)
+
+
+@register("predict_pairs", O.with_(O.FACTORS_CTE, """
+SELECT "user", item, rating, round(prediction, 6) AS prediction FROM pred"""))
+def q_predict_pairs(spark, sf_dir):
+    s = _fixed_scored(spark, sf_dir).where("known")
+    return s.select("user", "item", "rating", _r6("prediction"))
+
+
+@register("mse", O.with_(O.FACTORS_CTE, """
+SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_unknown,
+       round(avg((rating - prediction) * (rating - prediction)), 6) AS mse FROM pred"""))
+def q_mse(spark, sf_dir):
+    m = MF.mse(_fixed_scored(spark, sf_dir))
+    return m.select("n", "n_unknown", _r6("mse"))
+
+
+@register("squared_errors", O.with_(O.FACTORS_CTE, """
+SELECT "user", item, round((rating - prediction) * (rating - prediction), 6) AS se FROM pred"""))
+def q_squared_errors(spark, sf_dir):
+    return MF.squared_errors(_fixed_scored(spark, sf_dir)).select("user", "item", _r6("se"))
+
+
+# ----------------------------------------------------------------- M1, M2, M4: ALS
+
+ALS_RANK, ALS_ITERATIONS, ALS_REG = 8, 10, 0.1
+
+
+def _als(spark, sf_dir):
+    return MF.train(FX.ratings(spark, sf_dir), ALS_RANK, ALS_ITERATIONS, ALS_REG)
+
+
+@register("als_factors", O.with_(O.RATINGS_CTE, f"""
+SELECT 'user' AS kind, "user" AS id, {ALS_RANK}::BIGINT AS n_features FROM ratings GROUP BY "user"
+UNION ALL
+SELECT 'item' AS kind, item AS id, {ALS_RANK}::BIGINT AS n_features FROM ratings GROUP BY item"""))
+def q_als_factors(spark, sf_dir):
+    model = _als(spark, sf_dir)
+    u = MF.user_factors(model).select(F.lit("user").alias("kind"), "id",
+                                      F.size("features").cast("long").alias("n_features"))
+    i = MF.item_factors(model).select(F.lit("item").alias("kind"), "id",
+                                      F.size("features").cast("long").alias("n_features"))
+    return u.unionByName(i)
+
+
+@register("als_mse")
+def q_als_mse(spark, sf_dir):
+    r = FX.ratings(spark, sf_dir)
+    model = _als(spark, sf_dir)
+    scored = MF.score_pairs(r, MF.user_factors(model), MF.item_factors(model))
+    return MF.mse(scored)
+
+
+# ----------------------------------------------------------------- S6-S9, S11, M3, M7: model store
+
+from vecfactor.session import shared_path  # noqa: E402
+from vecfactor.sources.store import ModelStore  # noqa: E402
+
+
+def _typed_batch(spark, sf_dir, half):
+    """Factors + meta for one model per event type, trained on one half."""
+    r = FX.typed_ratings(spark, sf_dir, half)
+    keyed = (r.select("model_name", F.lit("user").alias("kind"), F.col("user").alias("id"))
+             .unionByName(r.select("model_name", F.lit("item").alias("kind"), F.col("item").alias("id"))))
+    factors = FX.keyed_fixed_factors(spark, sf_dir, keyed)
+    dim = FX.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    meta = r.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_ratings")).select(
+        "model_name", F.lit(dim).alias("rank"), F.lit(0).alias("iterations"),
+        F.lit(0.0).alias("reg"), "n_ratings")
+    return factors, meta
+
+
+def build_store(spark, sf_dir) -> ModelStore:
+    """Save every event type's model on the first half, re-save all but the
+    's' types on the second half, evaluate on all ratings, delete the 'e'
+    types (and try their upper-case names, which do not exist), evaluate
+    again on the second half."""
+    st = ModelStore(spark, shared_path(spark, "store"))
+    f1, m1 = _typed_batch(spark, sf_dir, 1)
+    st.save(f1, m1)
+    f2, m2 = _typed_batch(spark, sf_dir, 2)
+    keep = ~F.col("model_name").startswith("s")
+    st.save(f2.where(keep), m2.where(keep))
+    st.evaluate(FX.typed_ratings(spark, sf_dir, None))
+    names = FX.table(spark, sf_dir, "events").select(F.col("event_type").alias("model_name")).distinct()
+    gone = names.where(F.col("model_name").startswith("e"))
+    st.delete(gone.unionByName(gone.select(F.upper("model_name").alias("model_name"))))
+    st.evaluate(FX.typed_ratings(spark, sf_dir, 2))
+    return st
+
+
+_HALF = """
+ev1 AS (SELECT *, ts < TIMESTAMP '2024-01-16 00:00:00' AS h1 FROM ev),
+t1 AS (SELECT event_type AS model_name, "user", item, arg_max(rating, {'t': ts, 'e': event_id}) AS rating
+       FROM ev1 WHERE h1 GROUP BY ALL),
+t2 AS (SELECT event_type AS model_name, "user", item, arg_max(rating, {'t': ts, 'e': event_id}) AS rating
+       FROM ev1 WHERE NOT h1 GROUP BY ALL),
+dim AS (SELECT max(len(embedding)) AS d FROM embeddings),
+live AS (
+  SELECT model_name, 2::BIGINT AS version FROM (SELECT DISTINCT model_name FROM t2)
+  WHERE NOT starts_with(model_name, 's') AND NOT starts_with(model_name, 'e')
+  UNION ALL
+  SELECT model_name, 1::BIGINT FROM (SELECT DISTINCT model_name FROM t1) WHERE starts_with(model_name, 's')
+),
+train AS (
+  SELECT l.model_name, l.version, t."user", t.item, t.rating FROM live l JOIN t1 t USING (model_name) WHERE l.version = 1
+  UNION ALL
+  SELECT l.model_name, l.version, t."user", t.item, t.rating FROM live l JOIN t2 t USING (model_name) WHERE l.version = 2
+),
+nemb AS (SELECT count(*) AS n FROM embeddings),
+fac AS (
+  SELECT DISTINCT model_name, version, 'user' AS kind, "user" AS id FROM train
+  UNION ALL SELECT DISTINCT model_name, version, 'item' AS kind, item AS id FROM train
+),
+facv AS (
+  SELECT f.*, e.embedding AS features FROM fac f, nemb
+  JOIN embeddings e ON e.vec_id = CASE WHEN f.kind = 'user' THEN ((f.id::BIGINT % nemb.n) + nemb.n) % nemb.n
+                                       ELSE nemb.n - 1 - f.id::BIGINT END
+)"""
+_STORE_CTE = O.RATINGS_CTE.split(",\nratings AS")[0] + "," + _HALF
+
+
+@register("store_latest", O.with_(_STORE_CTE, """
+SELECT l.model_name, l.version, d.d::INTEGER AS rank, count(*)::BIGINT AS n_ratings
+FROM live l JOIN train t ON t.model_name = l.model_name, dim d
+GROUP BY l.model_name, l.version, d.d"""))
+def q_store_latest(spark, sf_dir):
+    st = build_store(spark, sf_dir)
+    return st.latest().select("model_name", "version", "rank", "n_ratings")
+
+
+@register("features_long", O.with_(_STORE_CTE, """
+SELECT model_name, version, kind, id::INTEGER AS id,
+       list_transform(features, lambda x: round(x::DOUBLE, 6)) AS features
+FROM facv"""))
+def q_features_long(spark, sf_dir):
+    st = build_store(spark, sf_dir)
+    f = st.features()
+    return f.select("model_name", "version", "kind", "id",
+                    F.transform("features", lambda x: F.round(x.cast("double"), 6)).alias("features"))
+
+
+@register("features_json")
+def q_features_json(spark, sf_dir):
+    return build_store(spark, sf_dir).features_json()
+
+
+@register("eval_latest", O.with_(_STORE_CTE + """,
+test AS (SELECT * FROM t2),
+uf AS (SELECT model_name, version, id AS "user", features AS uf FROM facv WHERE kind = 'user'),
+itf AS (SELECT model_name, version, id AS item, features AS itf FROM facv WHERE kind = 'item'),
+sc AS (
+  SELECT l.model_name, l.version, t.rating, u.uf, i.itf,
+         CASE WHEN u.uf IS NOT NULL AND i.itf IS NOT NULL THEN
+           list_sum(list_transform(range(1, len(u.uf) + 1), lambda k: u.uf[k]::DOUBLE * i.itf[k]::DOUBLE))
+         END AS p
+  FROM live l JOIN test t ON t.model_name = l.model_name
+  LEFT JOIN uf u ON u.model_name = l.model_name AND u.version = l.version AND u."user" = t."user"
+  LEFT JOIN itf i ON i.model_name = l.model_name AND i.version = l.version AND i.item = t.item
+)""", """
+SELECT model_name, version, count(p)::BIGINT AS n, (count(*) - count(p))::BIGINT AS n_unknown,
+       round(avg((rating - p) * (rating - p)), 6) AS mse
+FROM sc GROUP BY model_name, version"""))
+def q_eval_latest(spark, sf_dir):
+    st = build_store(spark, sf_dir)
+    return st.latest_evaluations().select("model_name", "version", "n", "n_unknown", _r6("mse"))
+
+
+@register("store_delete", O.with_(O.RATINGS_CTE.split(",\nratings AS")[0], """
+SELECT DISTINCT event_type AS model_name, true AS deleted FROM ev WHERE starts_with(event_type, 'e')
+UNION ALL
+SELECT DISTINCT upper(event_type), false FROM ev WHERE starts_with(event_type, 'e')"""))
+def q_store_delete(spark, sf_dir):
+    st = ModelStore(spark, shared_path(spark, "store"))
+    f1, m1 = _typed_batch(spark, sf_dir, 1)
+    st.save(f1, m1)
+    names = FX.table(spark, sf_dir, "events").select(F.col("event_type").alias("model_name")).distinct()
+    gone = names.where(F.col("model_name").startswith("e"))
+    return st.delete(gone.unionByName(gone.select(F.upper("model_name").alias("model_name"))))
+
+
+# ----------------------------------------------------------------- F12, X3: model names
+
+@register("model_names", """
+SELECT 'customer' AS source, c_custkey AS id, c_name AS name, string_split(c_name, '/')[-1] AS last_piece,
+       regexp_matches(c_name, '^[0-9A-Za-z_-]+$') AS valid FROM customer
+UNION ALL
+SELECT 'page', page_id, url, string_split(url, '/')[-1],
+       regexp_matches(url, '^[0-9A-Za-z_-]+$') FROM pages
+UNION ALL
+SELECT 'page_piece', page_id, string_split(url, '/')[-1], string_split(string_split(url, '/')[-1], '/')[-1],
+       regexp_matches(string_split(url, '/')[-1], '^[0-9A-Za-z_-]+$') FROM pages""")
+def q_model_names(spark, sf_dir):
+    from vecfactor.functions.names import last_path_piece, valid_name
+    cust = FX.table(spark, sf_dir, "customer").select(
+        F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    pages = FX.table(spark, sf_dir, "pages")
+    pg = pages.select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("url").alias("name"))
+    pc = pages.select(F.lit("page_piece").alias("source"), F.col("page_id").alias("id"),
+                      last_path_piece("url").alias("name"))
+    alln = cust.unionByName(pg).unionByName(pc)
+    return alln.select("source", "id", "name", last_path_piece("name").alias("last_piece"),
+                       valid_name("name").alias("valid"))

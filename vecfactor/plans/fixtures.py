@@ -176,3 +176,32 @@ def word_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.pmod(F.col("list_id"), F.lit(10)) == 3
     return lists.select("list_id", F.when(bad, F.expr("substr(to_json(words), 1, length(to_json(words)) - 1)"))
                         .otherwise(js).alias("payload"))
+
+
+def keyed_fixed_factors(spark: SparkSession, sf_dir: str, keyed: DataFrame) -> DataFrame:
+    """``model_name, kind, id, features`` for ``model_name, kind, id`` rows
+    (same rule as :func:`fixed_factors`, many models in one join)."""
+    emb = table(spark, sf_dir, "embeddings")
+    n = emb.count()
+    vec_id = F.when(F.col("kind") == "user", F.pmod(F.col("id").cast("long"), F.lit(n))) \
+        .otherwise(F.lit(n - 1) - F.col("id").cast("long"))
+    return (keyed.select("model_name", "kind", "id").distinct().withColumn("vec_id", vec_id)
+            .join(emb, "vec_id")
+            .select("model_name", "kind", F.col("id").cast("int").alias("id"), F.col("embedding").alias("features")))
+
+
+# the event stream is cut in two halves for the model-store fixture
+STORE_SPLIT_TS = "2024-01-16 00:00:00"
+
+
+def typed_ratings(spark: SparkSession, sf_dir: str, half: int | None) -> DataFrame:
+    """``model_name (= event_type), user, item, rating``: latest value per pair
+    within one half of the event stream (``half`` 1 or 2; None = all)."""
+    ev = event_items(spark, sf_dir)
+    cut = F.col("ts") < F.to_timestamp(F.lit(STORE_SPLIT_TS))
+    if half == 1:
+        ev = ev.where(cut)
+    elif half == 2:
+        ev = ev.where(~cut)
+    return (ev.groupBy(F.col("event_type").alias("model_name"), "user", "item")
+            .agg(F.max_by("rating", F.struct("ts", "event_id")).alias("rating")))
