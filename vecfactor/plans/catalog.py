@@ -441,3 +441,45 @@ def q_model_names(spark, sf_dir):
     alln = cust.unionByName(pg).unionByName(pc)
     return alln.select("source", "id", "name", last_path_piece("name").alias("last_piece"),
                        valid_name("name").alias("valid"))
+
+
+# ----------------------------------------------------------------- S4: binary vector files
+
+@register("w2v_import", O.with_(O.VOCAB_CTE, """
+SELECT word, word_idx, list_transform(vec, lambda x: round(x::DOUBLE, 6)) AS vec FROM vocab"""))
+def q_w2v_import(spark, sf_dir):
+    from vecfactor.sources.w2v import read_vectors, write_vectors
+    path = shared_path(spark, "vectors")
+    write_vectors(FX.vocabulary(spark, sf_dir), path, n_files=4)
+    v = read_vectors(spark, path, records_per_partition=200)
+    return v.select("word", "word_idx", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+# ----------------------------------------------------------------- R1, R2: file feeds
+
+def _run_feed(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+@register("feed_centers", ORACLE["word_center"])
+def q_feed_centers(spark, sf_dir):
+    from vecfactor.streaming import feeds
+    base = shared_path(spark, "feed_centers")
+    feeds.stage_files(FX.word_lists(spark, sf_dir), f"{base}/in")
+    vocab = _vocab(spark, sf_dir)
+    _run_feed(feeds.center_feed(spark, f"{base}/in", vocab, f"{base}/out", f"{base}/ckpt",
+                                max_files_per_trigger=2))
+    cen = feeds.read_output(spark, f"{base}/out")
+    return C.center_rows(cen).select("list_id", F.col("dim").cast("long").alias("dim"), _r6("value"))
+
+
+@register("feed_uploads", ORACLE["uploads_validate"])
+def q_feed_uploads(spark, sf_dir):
+    from vecfactor.streaming import feeds
+    base = shared_path(spark, "feed_uploads")
+    feeds.stage_files(FX.rating_uploads(spark, sf_dir).drop("variant"), f"{base}/in")
+    _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt"))
+    parsed = feeds.read_output(spark, f"{base}/out/parsed")
+    return parsed.select("upload_id", "model_name", "reason", "rank", "iterations", "reg", "n_ratings")
