@@ -58,7 +58,8 @@ def is_punctuation(word) -> Column:
 
 
 def is_url(word) -> Column:
-    low = F.lower(_col(word))
+    # only the first 6 characters can decide a prefix match: lower-case those
+    low = F.lower(F.substring(_col(word), 1, max(len(p) for p in URL_PREFIXES)))
     cond = None
     for p in URL_PREFIXES:
         c = low.startswith(p)
@@ -67,7 +68,8 @@ def is_url(word) -> Column:
 
 
 def is_email(word) -> Column:
-    return _col(word).rlike(EMAIL_PATTERN)
+    w = _col(word)
+    return w.contains("@") & w.rlike(EMAIL_PATTERN)
 
 
 def keep_token(word, stop_words=None) -> Column:

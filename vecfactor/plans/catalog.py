@@ -138,13 +138,13 @@ def q_known_counts(spark, sf_dir):
 @register("word_center", O.with_(O.FILTERED_CTE, """
 SELECT list_id, dim::BIGINT AS dim, round(value, 6) AS value FROM cdim"""))
 def q_word_center(spark, sf_dir):
-    cen = C.centers(_flists(spark, sf_dir), _vocab(spark, sf_dir))
+    cen = C.centers(FX.word_lists(spark, sf_dir), _vocab(spark, sf_dir))
     return C.center_rows(cen).select("list_id", F.col("dim").cast("long").alias("dim"), _r6("value"))
 
 
 @register("center_json")
 def q_center_json(spark, sf_dir):
-    cen = C.centers(_flists(spark, sf_dir), _vocab(spark, sf_dir))
+    cen = C.centers(FX.word_lists(spark, sf_dir), _vocab(spark, sf_dir))
     return C.center_json(cen.where(F.col("center").isNotNull()))
 
 
@@ -163,10 +163,11 @@ SELECT list_id, arg_min(word, {'d': d, 'i': word_idx}) AS nearest_word,
        round(min(d), 6) AS nearest_sq_distance
 FROM dist WHERE d < 999999 GROUP BY list_id"""))
 def q_nearest_word(spark, sf_dir):
-    flists = _flists(spark, sf_dir)
     vocab = _vocab(spark, sf_dir)
-    cen = C.centers(flists, vocab)
-    used = C.lookup_words(flists, vocab).select("list_id", "word_idx").distinct()
+    # centres and each list's matched words in one pass, kept in the shared folder
+    cen = C.centers(FX.word_lists(spark, sf_dir), vocab, with_used=True) \
+        .where(F.col("center").isNotNull()).checkpoint(eager=True)
+    used = cen.select("list_id", F.explode("used").alias("word_idx"))
     nn = nearest_words(cen, vocab, used)
     return nn.select("list_id", "nearest_word", _r6("nearest_sq_distance"))
 

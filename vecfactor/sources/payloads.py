@@ -179,8 +179,10 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 def flatten_ratings(parsed: DataFrame) -> DataFrame:
     """``upload_id, model_name, user, item, rating`` for accepted uploads."""
-    return (accepted(parsed)
-            .select("upload_id", "model_name", F.explode("ratings").alias("r"))
+    # a generator over a conditional array, not a filter: a filter on the
+    # derived reason would be pushed down and inline the parsing expressions
+    return (parsed.select("upload_id", "model_name",
+                          F.explode(F.when(F.col("reason").isNull(), F.col("ratings"))).alias("r"))
             .select("upload_id", "model_name", "r.user", "r.item", "r.rating"))
 
 

@@ -44,7 +44,7 @@ def center_feed(spark: SparkSession, in_path: str, vocab: DataFrame, out: str, c
     lists = reader.json(in_path)
 
     def run(batch: DataFrame, batch_id: int):
-        cen = C.centers(C.filtered_lists(batch), vocab, broadcast=bc)
+        cen = C.centers(batch, vocab, broadcast=bc)
         _write_batch(cen, out, batch_id)
 
     w = lists.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
