@@ -45,7 +45,9 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     emb = table(spark, sf_dir, "embeddings")
     tokens = list_tokens(word_lists(spark, sf_dir))
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    # the ranking reads the counts twice (per-partition sizes, then rows):
+    # a reliable checkpoint keeps the tokenisation to one pass
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     ranked = global_row_number(counts, [F.col("cnt").desc(), F.col("word").asc()], "word_idx")
     return (ranked.join(emb, ranked.word_idx == emb.vec_id)
             .select("word", "word_idx", F.col("embedding").alias("vec")))
