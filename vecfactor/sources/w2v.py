@@ -110,20 +110,19 @@ class _Reader(DataSourceReader):
             return
         with open(part.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mm:
             pos = _skip(mm, part.start, part.dim, part.first, part.path)
-            buf = np.frombuffer(mm, dtype=np.uint8)
-            try:
-                yield from self._batches(mm, buf, pos, part)
-            finally:
-                del buf
+            yield from self._batches(mm, pos, part)
 
-    def _batches(self, mm, buf, pos, part):
+    def _batches(self, mm, pos, part):
         done = 0
         while done < part.count:
             k = min(self.batch_rows, part.count - done)
-            wstart, wend, pos = _scan(mm, pos, part.dim, k, part.path)
+            wstart, wend, end = _scan(mm, pos, part.dim, k, part.path)
+            # copy this batch's bytes: no numpy view stays on the memory map
+            buf = np.frombuffer(mm[pos:end], dtype=np.uint8)
+            base, pos = pos, end
             words = [bytes(mm[a:b]).replace(b"\n", b"").decode("utf-8", "replace")
                      for a, b in zip(wstart.tolist(), wend.tolist())]
-            offs = (wend + 1)[:, None] + np.arange(4 * part.dim, dtype=np.int64)[None, :]
+            offs = (wend + 1 - base)[:, None] + np.arange(4 * part.dim, dtype=np.int64)[None, :]
             vals = buf[offs].reshape(-1).view("<f4").astype(np.float32, copy=False)
             vec = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, (k + 1) * part.dim, part.dim, dtype=np.int32)), pa.array(vals))
