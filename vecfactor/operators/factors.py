@@ -88,3 +88,65 @@ def mse(scored: DataFrame, strict: bool = False) -> DataFrame:
         if row["n_unknown"] > 0:
             raise ValueError(f"{row['n_unknown']} pairs have no factor in the model")
     return out
+
+
+# --------------------------------------------------------------------------- many small models
+
+_MANY_SCHEMA = "model_name string, kind string, id int, features array<float>"
+
+
+def _als_kernel(pdf, seed: int):
+    """Explicit ALS with weighted regularisation (lambda * n per row, as Spark's
+    ALS) for one model's ratings held in one pandas frame."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+    name = pdf["model_name"].iloc[0]
+    rank, iters, reg = int(pdf["rank"].iloc[0]), int(pdf["iterations"].iloc[0]), float(pdf["reg"].iloc[0])
+    users, u_idx = np.unique(pdf["user"].to_numpy(), return_inverse=True)
+    items, i_idx = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+    r = pdf["rating"].to_numpy(dtype=np.float64)
+    rng = np.random.default_rng([seed, zlib.crc32(name.encode("utf-8"))])  # stable per name
+
+    def unit(n):
+        m = rng.normal(size=(n, rank))
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+    U, V = unit(len(users)), unit(len(items))
+    by_u = [np.nonzero(u_idx == k)[0] for k in range(len(users))]
+    by_i = [np.nonzero(i_idx == k)[0] for k in range(len(items))]
+    eye = np.eye(rank)
+
+    def solve(fixed, groups, other_idx):
+        out = np.empty((len(groups), rank))
+        for k, rows in enumerate(groups):
+            F_ = fixed[other_idx[rows]]
+            out[k] = np.linalg.solve(F_.T @ F_ + reg * len(rows) * eye, F_.T @ r[rows])
+        return out
+    for _ in range(iters):
+        V = solve(U, by_i, u_idx)
+        U = solve(V, by_u, i_idx)
+    return pd.DataFrame({
+        "model_name": [name] * (len(users) + len(items)),
+        "kind": ["user"] * len(users) + ["item"] * len(items),
+        "id": np.concatenate([users, items]).astype("int32"),
+        "features": [row.astype(np.float32) for row in np.vstack([U, V])]})
+
+
+def train_many(ratings: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Fit one model per ``model_name`` in parallel: ``model_name, kind, id, features``.
+
+    ``ratings``: ``model_name, user, item, rating, rank, iterations, reg``.
+    Each model is one group handled by one task, so this path is for models
+    whose ratings fit a task (an upload is one document); callers send larger
+    models to :func:`train` (see :func:`split_by_size`).
+    """
+    return ratings.groupBy("model_name").applyInPandas(lambda pdf: _als_kernel(pdf, seed), _MANY_SCHEMA)
+
+
+def split_by_size(ratings: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(small, large) models by rating count: the size check before grouping."""
+    sizes = ratings.groupBy("model_name").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = ratings.join(sizes, "model_name")
+    return (tagged.where(F.col("_n") <= max_rows).drop("_n"),
+            tagged.where(F.col("_n") > max_rows).drop("_n"))

@@ -484,3 +484,17 @@ def q_feed_uploads(spark, sf_dir):
     _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt"))
     parsed = feeds.read_output(spark, f"{base}/out/parsed")
     return parsed.select("upload_id", "model_name", "reason", "rank", "iterations", "reg", "n_ratings")
+
+
+# ----------------------------------------------------------------- M2, M3: train-and-store uploads
+
+@register("uploads_models", O.with_(_UPLOADS_SQL + """,
+win AS (SELECT "user", max(upload_id) AS upload_id FROM up WHERE "user" % 7 IN (0, 4) GROUP BY "user")""", """
+SELECT 'm' || w."user" AS model_name, 1::BIGINT AS version, 3 AS rank, u.n::BIGINT AS n_ratings
+FROM win w JOIN up u ON u.upload_id = w.upload_id"""))
+def q_uploads_models(spark, sf_dir):
+    from vecfactor.sources.store import train_and_store
+    st = ModelStore(spark, shared_path(spark, "store"))
+    parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir)).checkpoint(eager=True)
+    train_and_store(st, parsed)
+    return st.latest().select("model_name", "version", "rank", "n_ratings")

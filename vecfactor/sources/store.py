@@ -199,3 +199,34 @@ class ModelStore:
                      F.struct("evaluated_at", "version")).alias("e"))
         return (last.select("model_name", "e.*").join(live, ["model_name", "version"])
                 .select("model_name", "version", "evaluated_at", "n", "n_unknown", "mse"))
+
+
+def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "upload_id",
+                    max_group_rows: int = 1_000_000, seed: int = 42) -> DataFrame:
+    """Train and store every named model of a batch of parsed uploads (M2/M3).
+
+    The latest accepted upload per name wins (``order_col`` orders uploads)
+    and is a full retrain on that upload alone. Models up to
+    ``max_group_rows`` ratings are fit side by side, one task each; larger
+    ones are fit one by one with Spark's distributed ALS. All models are then
+    saved in one batch. Returns the saved ``model_name, version`` rows.
+    """
+    from vecfactor.operators import factors as MF
+    from vecfactor.sources.payloads import accepted, flatten_ratings
+    acc = accepted(parsed).where(F.col("model_name").isNotNull())
+    winners = acc.groupBy("model_name").agg(F.max(order_col).alias(order_col))
+    chosen = parsed.join(winners, ["model_name", order_col], "left_semi")
+    params = chosen.select("model_name", "rank", "iterations", "reg", "n_ratings")
+    ratings = flatten_ratings(chosen).join(params.drop("n_ratings"), "model_name")
+    small, large = MF.split_by_size(ratings, max_group_rows)
+    factors = MF.train_many(small, seed)
+    big_names = [r["model_name"] for r in large.select("model_name").distinct().collect()]
+    for name in big_names:  # a loop over names only, never over ratings
+        part = large.where(F.col("model_name") == name)
+        p = part.select("rank", "iterations", "reg").first()
+        model = MF.train(part, p["rank"], p["iterations"], p["reg"], seed=seed)
+        f = (MF.user_factors(model).select(F.lit(name).alias("model_name"), F.lit("user").alias("kind"), "id", "features")
+             .unionByName(MF.item_factors(model).select(F.lit(name).alias("model_name"), F.lit("item").alias("kind"),
+                                                        "id", "features")))
+        factors = factors.unionByName(f)
+    return store.save(factors, params)
