@@ -33,6 +33,7 @@ HEADLINE = [
     "eval_latest",       # model store: 2 saves, 2 evaluations, delete
     "w2v_import",        # binary vector files round trip
     "feed_centers",      # streaming feed of word lists
+    "uploads_models",    # latest upload per name -> per-model ALS -> store
 ]
 
 
