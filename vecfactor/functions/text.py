@@ -7,6 +7,8 @@ whole-stage codegen and can evaluate below a join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,13 +60,11 @@ def is_punctuation(word) -> Column:
 
 
 def is_url(word) -> Column:
-    # only the first 6 characters can decide a prefix match: lower-case those
-    low = F.lower(F.substring(_col(word), 1, max(len(p) for p in URL_PREFIXES)))
-    cond = None
-    for p in URL_PREFIXES:
-        c = low.startswith(p)
-        cond = c if cond is None else (cond | c)
-    return cond
+    # lower-cased prefix test as one ASCII case-insensitive anchored pattern:
+    # only ASCII letters lower-case to the letters of the prefixes, so this
+    # equals lower(word).startswith(prefix) and avoids building lower(word)
+    alts = "|".join(re.escape(p) for p in URL_PREFIXES)
+    return _col(word).rlike(f"^(?i)(?:{alts})")
 
 
 def is_email(word) -> Column:
@@ -84,5 +84,10 @@ def filter_words(words, stop_words=None) -> Column:
 
 
 def split_tokens(text) -> Column:
-    """Split a text column into its non-empty tokens (array, order kept)."""
-    return F.filter(F.split(_col(text), TOKEN_SPLIT), lambda t: t != "")
+    """Split a text column into its non-empty tokens (array, order kept).
+
+    Separators are trimmed from both ends first, so the split yields no empty
+    pieces and needs no per-element filter (stays in codegen).
+    """
+    t = F.btrim(_col(text), F.lit(" \n"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, TOKEN_SPLIT))

@@ -130,7 +130,7 @@ SELECT f.list_id, len(f.words)::BIGINT AS n_words, count(k.word)::BIGINT AS n_kn
 FROM flists f LEFT JOIN known k ON k.list_id = f.list_id
 GROUP BY f.list_id, f.words"""))
 def q_known_counts(spark, sf_dir):
-    return C.known_counts(_flists(spark, sf_dir), _vocab(spark, sf_dir))
+    return C.known_counts(FX.word_lists(spark, sf_dir), _vocab(spark, sf_dir))
 
 
 # ----------------------------------------------------------------- A1: centre
@@ -167,8 +167,7 @@ def q_nearest_word(spark, sf_dir):
     # centres and each list's matched words in one pass, kept in the shared folder
     cen = C.centers(FX.word_lists(spark, sf_dir), vocab, with_used=True) \
         .where(F.col("center").isNotNull()).checkpoint(eager=True)
-    used = cen.select("list_id", F.explode("used").alias("word_idx"))
-    nn = nearest_words(cen, vocab, used)
+    nn = nearest_words(cen, vocab)
     return nn.select("list_id", "nearest_word", _r6("nearest_sq_distance"))
 
 
