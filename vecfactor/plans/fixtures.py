@@ -144,17 +144,22 @@ def rating_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``upload_id, payload``: one upload per (user, day) carrying every event.
+    """``upload_id, payload``: one upload per (user, day, two-hour slot).
 
-    Items repeat in event order (later value must win); morning events sit
-    under the key ``"<user>"``, afternoon events under ``"0<user>"``, which
-    casts to the same user and so must replace the morning block whole.
+    Every event of the slot is in it, in event order, so an item repeats and
+    its later value must win; events of the slot's first hour sit under the
+    key ``"<user>"``, of its second hour under ``"0<user>"``, which casts to
+    the same user and so must replace the first block whole. Slots keep each
+    upload (one document) small whatever a user's activity.
     """
-    ev = event_items(spark, sf_dir).withColumn("day", F.to_date("ts")).withColumn("pm", F.hour("ts") >= 12)
+    ev = (event_items(spark, sf_dir).withColumn("day", F.to_date("ts"))
+          .withColumn("slot", (F.hour("ts") / 2).cast("int"))
+          .withColumn("second", (F.hour("ts") % 2) == 1))
 
-    def block(pm: bool):
-        return F.array_sort(F.collect_list(F.when(F.col("pm") == F.lit(pm), F.struct("ts", "event_id", "item", "rating"))))
-    g = ev.groupBy("user", "day").agg(block(False).alias("am"), block(True).alias("pmv"))
+    def block(second: bool):
+        return F.array_sort(F.collect_list(F.when(F.col("second") == F.lit(second),
+                                                  F.struct("ts", "event_id", "item", "rating"))))
+    g = ev.groupBy("user", "day", "slot").agg(block(False).alias("b1"), block(True).alias("b2"))
 
     def obj(arr):
         return _json_obj(F.transform(arr, lambda x: F.struct(x["item"].cast("string").alias("k"),
@@ -162,10 +167,11 @@ def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     user_s = F.col("user").cast("string")
     ratings_json = F.concat(F.lit("{"), F.concat_ws(
         ", ",
-        F.when(F.size("am") > 0, F.concat(F.lit('"'), user_s, F.lit('": '), obj(F.col("am")))),
-        F.when(F.size("pmv") > 0, F.concat(F.lit('"0'), user_s, F.lit('": '), obj(F.col("pmv"))))), F.lit("}"))
+        F.when(F.size("b1") > 0, F.concat(F.lit('"'), user_s, F.lit('": '), obj(F.col("b1")))),
+        F.when(F.size("b2") > 0, F.concat(F.lit('"0'), user_s, F.lit('": '), obj(F.col("b2"))))), F.lit("}"))
     return g.select(
-        F.concat(F.lit("d"), user_s, F.lit("-"), F.date_format("day", "yyyyMMdd")).alias("upload_id"),
+        F.concat(F.lit("d"), user_s, F.lit("-"), F.date_format("day", "yyyyMMdd"), F.lit("-"),
+                 F.col("slot").cast("string")).alias("upload_id"),
         F.concat(F.lit('{"ratings": '), ratings_json,
                  F.lit(', "rank": 2, "iterations": 3, "lambda": 0.01}')).alias("payload"))
 
