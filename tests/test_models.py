@@ -106,3 +106,19 @@ def test_train_many_small_models(spark):
     again = {(x["model_name"], x["kind"], x["id"]): x["features"] for x in MF.train_many(rows).collect()}
     first = {(x["model_name"], x["kind"], x["id"]): x["features"] for x in f.collect()}
     assert again == first                     # fixed seed: same factors
+
+
+def test_failed_save_leaves_no_trace(spark, tmpdir_shared):
+    st = ModelStore(spark, tmpdir_shared + "/store3")
+    f, m = _factors(spark, "gamma", 1.0)
+    st.save(f, m)
+    # a save that died after writing its factor files but before its index row
+    orphan = spark.createDataFrame([("user", 9, [7.0, 7.0], "gamma", 2, "dead")],
+                                   "kind string, id int, features array<float>, model_name string, "
+                                   "version long, attempt string")
+    orphan.write.mode("append").partitionBy("model_name", "version", "attempt").parquet(st.factors_path)
+    assert {r["id"] for r in st.features().collect()} == {1, 2}
+    f, m = _factors(spark, "gamma", 3.0)
+    assert [r["version"] for r in st.save(f, m).collect()] == [2]
+    feats = {(r["kind"], r["id"]): r["features"] for r in st.features().collect()}
+    assert feats == {("user", 1): [3.0, 0.0], ("item", 2): [1.0, 1.0]}

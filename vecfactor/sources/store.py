@@ -2,11 +2,11 @@
 
 Layout below ``root`` (a folder every executor sees):
 
-* ``factors/``      Parquet partitioned by ``model_name, version``; columns
-                    ``kind ('user'|'item'), id INT, features ARRAY<FLOAT>``
+* ``factors/``      Parquet partitioned by ``model_name, version, attempt``;
+                    columns ``kind ('user'|'item'), id INT, features ARRAY<FLOAT>``
 * ``index/``        append-only Parquet, one row per operation:
                     ``model_name, version, op ('save'|'delete'), created_at,
-                    rank, iterations, reg, n_ratings``
+                    rank, iterations, reg, n_ratings, attempt``
 * ``evaluations/``  append-only Parquet: ``model_name, version, evaluated_at,
                     n, n_unknown, mse``
 
@@ -14,11 +14,15 @@ Every operation handles a *batch* of models in one job. A save writes new
 partition folders first and the index rows last, so a failed save never hides
 the previous version; nothing is overwritten or removed. Versions grow per
 name with every operation; the live version of a name is its highest-version
-index row when that row is a save.
+index row when that row is a save. Every save call writes under a fresh
+``attempt`` token that its index rows name, so files left by a failed save
+(same name and version, no index row) are never read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +35,13 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType()),
     T.StructField("op", T.StringType()), T.StructField("created_at", T.TimestampType()),
     T.StructField("rank", T.IntegerType()), T.StructField("iterations", T.IntegerType()),
-    T.StructField("reg", T.DoubleType()), T.StructField("n_ratings", T.LongType())])
+    T.StructField("reg", T.DoubleType()), T.StructField("n_ratings", T.LongType()),
+    T.StructField("attempt", T.StringType())])
 FACTOR_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("id", T.IntegerType()),
     T.StructField("features", T.ArrayType(T.FloatType())),
-    T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType())])
+    T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType()),
+    T.StructField("attempt", T.StringType())])
 EVAL_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType()),
     T.StructField("evaluated_at", T.TimestampType()), T.StructField("n", T.LongType()),
@@ -82,7 +88,8 @@ class ModelStore:
             F.max_by(F.struct(*[c for c in INDEX_SCHEMA.fieldNames() if c != "model_name"]),
                      "version").alias("r"))
         return last.where(F.col("r.op") == "save").select(
-            "model_name", "r.version", "r.created_at", "r.rank", "r.iterations", "r.reg", "r.n_ratings")
+            "model_name", "r.version", "r.created_at", "r.rank", "r.iterations", "r.reg", "r.n_ratings",
+            "r.attempt")
 
     def features(self, names: list[str] | None = None) -> DataFrame:
         """Long format ``model_name, version, kind, id, features`` of live versions.
@@ -91,13 +98,14 @@ class ModelStore:
         the live versions prunes ``version`` partitions.
         """
         f = self.factors()
-        live = self.latest().select("model_name", "version")
+        live = self.latest().select("model_name", "version", "attempt")
         if names is not None:
             for n in names:
                 self._check_name(n)
             f = f.where(F.col("model_name").isin(names))
             live = live.where(F.col("model_name").isin(names))
-        return f.join(live, ["model_name", "version"]).select("model_name", "version", "kind", "id", "features")
+        return (f.join(live, ["model_name", "version", "attempt"])
+                .select("model_name", "version", "kind", "id", "features"))
 
     def features_json(self, chunk_rows: int = 4096) -> DataFrame:
         """Feature documents ``{"userFeatures": {id: [..]}, "productFeatures": {..}}``.
@@ -139,17 +147,21 @@ class ModelStore:
         model with ``model_name, rank, iterations, reg, n_ratings``.
         """
         self._check_names(meta)
+        attempt = uuid.uuid4().hex
         versions = (self._with_versions(meta)
                     .select("model_name", "version", F.lit("save").alias("op"),
                             F.current_timestamp().alias("created_at"),
                             F.col("rank").cast("int"), F.col("iterations").cast("int"),
-                            F.col("reg").cast("double"), F.col("n_ratings").cast("long"))
+                            F.col("reg").cast("double"), F.col("n_ratings").cast("long"),
+                            F.lit(attempt).alias("attempt"))
                     .checkpoint(eager=True))  # fixes versions and time for both writes
         n = versions.count()
-        keys, _ = maybe_broadcast(versions.select("model_name", "version"), n * _ROW_BYTES, _MAX_BATCH_BROADCAST)
+        keys, _ = maybe_broadcast(versions.select("model_name", "version", "attempt"),
+                                  n * _ROW_BYTES, _MAX_BATCH_BROADCAST)
         (factors.join(keys, "model_name")
-         .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"), "model_name", "version")
-         .write.mode("append").partitionBy("model_name", "version").parquet(self.factors_path))
+         .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"),
+                 "model_name", "version", "attempt")
+         .write.mode("append").partitionBy("model_name", "version", "attempt").parquet(self.factors_path))
         versions.select(*INDEX_SCHEMA.fieldNames()).write.mode("append").parquet(self.index_path)
         return versions.select("model_name", "version")
 
@@ -163,7 +175,8 @@ class ModelStore:
                 .select("model_name", "version", F.lit("delete").alias("op"),
                         F.current_timestamp().alias("created_at"),
                         F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("iterations"),
-                        F.lit(None).cast("double").alias("reg"), F.lit(None).cast("long").alias("n_ratings")))
+                        F.lit(None).cast("double").alias("reg"), F.lit(None).cast("long").alias("n_ratings"),
+                        F.lit(None).cast("string").alias("attempt")))
         hits = hits.checkpoint(eager=True)
         tomb.write.mode("append").parquet(self.index_path)
         return hits
@@ -171,13 +184,13 @@ class ModelStore:
     def evaluate(self, pairs: DataFrame) -> DataFrame:
         """Score ``model_name, user, item, rating`` against each live model and
         append one evaluation row per model; returns those rows."""
-        live = self.latest().select("model_name", "version")
-        f = self.factors().join(live, ["model_name", "version"])
+        live = self.latest().select("model_name", "version", "attempt")
+        f = self.factors().join(live, ["model_name", "version", "attempt"])
         uf = f.where(F.col("kind") == "user").select("model_name", "version", F.col("id").alias("user"),
                                                      F.col("features").alias("uf"))
         itf = f.where(F.col("kind") == "item").select("model_name", "version", F.col("id").alias("item"),
                                                       F.col("features").alias("itf"))
-        j = (pairs.join(live, "model_name")
+        j = (pairs.join(live.drop("attempt"), "model_name")
              .join(uf, ["model_name", "version", "user"], "left")
              .join(itf, ["model_name", "version", "item"], "left"))
         known = F.col("uf").isNotNull() & F.col("itf").isNotNull()
