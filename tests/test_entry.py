@@ -19,3 +19,11 @@ def test_feed_matches_batch(spark):
     a = {tuple(r) for r in q["feed_centers"](spark, sf).collect()}
     b = {tuple(r) for r in q["word_center"](spark, sf).collect()}
     assert a == b
+
+
+def test_upload_feed_matches_batch(spark):
+    sf = "/root/testdata/sf0.001"
+    q = E.queries()
+    a = {tuple(r) for r in q["feed_uploads"](spark, sf).collect()}
+    b = {tuple(r) for r in q["uploads_validate"](spark, sf).collect()}
+    assert a == b and len(a) > 0
