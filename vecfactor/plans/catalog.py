@@ -498,3 +498,14 @@ def q_uploads_models(spark, sf_dir):
     parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir)).checkpoint(eager=True)
     train_and_store(st, parsed)
     return st.latest().select("model_name", "version", "rank", "n_ratings")
+
+
+@register("feed_models", ORACLE["uploads_models"])
+def q_feed_models(spark, sf_dir):
+    """R1 end to end: upload files -> validate -> train and store per name."""
+    from vecfactor.streaming import feeds
+    base = shared_path(spark, "feed_models")
+    feeds.stage_files(FX.rating_uploads(spark, sf_dir).drop("variant"), f"{base}/in")
+    st = ModelStore(spark, f"{base}/store")
+    _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", store=st))
+    return st.latest().select("model_name", "version", "rank", "n_ratings")

@@ -29,10 +29,6 @@ REQUIRED_FIELDS = ("ratings", "rank", "iterations", "lambda")  # fixed: required
 INT_KEY = r"^\s*[+-]?[0-9]+\s*$"
 EMPTY_TEXTS = ("", "[]")
 
-PARSED_SCHEMA_NOTE = ("upload_id, model_name, reason, rank INT, iterations INT, reg DOUBLE, "
-                      "ratings ARRAY<STRUCT<user INT, item INT, rating DOUBLE>>, n_ratings LONG")
-
-
 def _last_value(m: Column, key: str) -> Column:
     """Value of the last occurrence of ``key`` in a map that may repeat keys."""
     return F.try_element_at(F.map_values(F.map_filter(m, lambda k, v: k == F.lit(key))), F.lit(-1))

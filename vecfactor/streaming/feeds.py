@@ -54,9 +54,12 @@ def center_feed(spark: SparkSession, in_path: str, vocab: DataFrame, out: str, c
 
 def upload_feed(spark: SparkSession, in_path: str, out: str, checkpoint: str,
                 on_accepted: Callable[[DataFrame, int], None] | None = None,
-                available_now: bool = True):
+                available_now: bool = True, store=None):
     """Start the upload feed; writes ``<out>/parsed``, ``<out>/ratings``,
-    ``<out>/rejected`` per batch. Returns the ``StreamingQuery``."""
+    ``<out>/rejected`` per batch, and with a ``store`` trains and stores the
+    batch's named models (latest upload per name, see
+    :func:`vecfactor.sources.store.train_and_store`). Returns the
+    ``StreamingQuery``."""
     uploads = spark.readStream.schema(UPLOAD_SCHEMA).json(in_path)
 
     def run(batch: DataFrame, batch_id: int):
@@ -64,6 +67,9 @@ def upload_feed(spark: SparkSession, in_path: str, out: str, checkpoint: str,
         _write_batch(parsed.drop("ratings"), f"{out}/parsed", batch_id)
         _write_batch(P.flatten_ratings(parsed), f"{out}/ratings", batch_id)
         _write_batch(P.rejected(parsed), f"{out}/rejected", batch_id)
+        if store is not None:
+            from vecfactor.sources.store import train_and_store
+            train_and_store(store, parsed)
         if on_accepted is not None:
             on_accepted(P.accepted(parsed), batch_id)
 
