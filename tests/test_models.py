@@ -122,3 +122,20 @@ def test_failed_save_leaves_no_trace(spark, tmpdir_shared):
     assert [r["version"] for r in st.save(f, m).collect()] == [2]
     feats = {(r["kind"], r["id"]): r["features"] for r in st.features().collect()}
     assert feats == {("user", 1): [3.0, 0.0], ("item", 2): [1.0, 1.0]}
+
+
+def test_train_and_store_names(spark, tmpdir_shared):
+    from vecfactor.sources.payloads import parse_uploads
+    from vecfactor.sources.store import train_and_store
+    body = '{"ratings": {"1": {"1": 5, "2": 1}, "2": {"1": 4}}, "rank": 2, "iterations": 3, "lambda": 0.1}'
+    ups = spark.createDataFrame([("a", "alpha", body), ("b", "alpha", body.replace('"2": 1', '"3": 1')),
+                                 ("c", None, body), ("d", None, "{oops")],
+                                "upload_id string, model_name string, payload string")
+    st = ModelStore(spark, tmpdir_shared + "/store4")
+    out = {r["upload_id"]: r for r in train_and_store(st, parse_uploads(ups).checkpoint()).collect()}
+    assert set(out) == {"b", "c"}                      # latest upload per name; bad upload skipped
+    assert out["b"]["model_name"] == "alpha" and out["b"]["version"] == 1
+    gen = out["c"]["model_name"]
+    assert len(gen) == NAME_LENGTH and set(gen) <= set(NAME_ALPHABET)
+    items = {r["id"] for r in st.features(["alpha"]).where("kind = 'item'").collect()}
+    assert items == {1, 3}                             # full retrain on the winning upload only

@@ -206,7 +206,9 @@ def typed_ratings(spark: SparkSession, sf_dir: str, half: int | None) -> DataFra
     """``model_name (= event_type), user, item, rating``: latest value per pair
     within one half of the event stream (``half`` 1 or 2; None = all)."""
     ev = event_items(spark, sf_dir)
-    cut = F.col("ts") < F.to_timestamp(F.lit(STORE_SPLIT_TS))
+    # the event time is a wall-clock timestamp (no zone): compare it as such,
+    # so the cut does not move with the session time zone
+    cut = F.col("ts").cast("timestamp_ntz") < F.lit(STORE_SPLIT_TS).cast("timestamp_ntz")
     if half == 1:
         ev = ev.where(cut)
     elif half == 2:

@@ -216,19 +216,24 @@ class ModelStore:
 
 def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "upload_id",
                     max_group_rows: int = 1_000_000, seed: int = 42) -> DataFrame:
-    """Train and store every named model of a batch of parsed uploads (M2/M3).
+    """Train and store the models of a batch of parsed uploads (M2, M3, S11).
 
-    The latest accepted upload per name wins (``order_col`` orders uploads)
-    and is a full retrain on that upload alone. Models up to
+    An upload without a name gets a generated 32-character name (M8); for a
+    named model the latest accepted upload (``order_col`` orders uploads)
+    wins and is a full retrain on that upload alone. Models up to
     ``max_group_rows`` ratings are fit side by side, one task each; larger
     ones are fit one by one with Spark's distributed ALS. All models are then
-    saved in one batch. Returns the saved ``model_name, version`` rows.
+    saved in one batch. Returns ``upload_id, model_name, version`` of the
+    uploads that produced a model, so a caller learns generated names.
     """
+    from vecfactor.functions.names import generated_names
     from vecfactor.operators import factors as MF
     from vecfactor.sources.payloads import accepted, flatten_ratings
-    acc = accepted(parsed).where(F.col("model_name").isNotNull())
+    acc = (accepted(parsed)
+           .withColumn("model_name", F.coalesce(F.col("model_name"), generated_names("upload_id"))))
     winners = acc.groupBy("model_name").agg(F.max(order_col).alias(order_col))
-    chosen = parsed.join(winners, ["model_name", order_col], "left_semi")
+    # the chosen uploads feed four reads below: materialise them once
+    chosen = acc.join(winners, ["model_name", order_col], "left_semi").checkpoint(eager=True)
     params = chosen.select("model_name", "rank", "iterations", "reg", "n_ratings")
     ratings = flatten_ratings(chosen).join(params.drop("n_ratings"), "model_name")
     small, large = MF.split_by_size(ratings, max_group_rows)
@@ -242,4 +247,5 @@ def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "uplo
              .unionByName(MF.item_factors(model).select(F.lit(name).alias("model_name"), F.lit("item").alias("kind"),
                                                         "id", "features")))
         factors = factors.unionByName(f)
-    return store.save(factors, params)
+    saved = store.save(factors, params)
+    return chosen.select("upload_id", "model_name").join(saved, "model_name")
