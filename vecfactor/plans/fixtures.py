@@ -34,7 +34,8 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_tokens(lists: DataFrame) -> DataFrame:
     """``list_id, pos, word``: one row per token, position kept."""
-    return lists.select("list_id", F.posexplode("words").alias("pos", "word"))
+    return (lists.select("list_id", F.posexplode("words").alias("pos", "word"))
+            .select("list_id", F.col("pos").cast("long").alias("pos"), "word"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
