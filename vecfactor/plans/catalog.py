@@ -136,16 +136,23 @@ def q_known_counts(spark, sf_dir):
 # ----------------------------------------------------------------- A1: centre
 
 @register("word_center", O.with_(O.FILTERED_CTE, """
-SELECT list_id, dim::BIGINT AS dim, round(value, 6) AS value FROM cdim"""))
+SELECT list_id, dim::BIGINT AS dim, round(value, 6) + 0.0 AS value FROM cdim"""))
 def q_word_center(spark, sf_dir):
     cen = C.centers(FX.word_lists(spark, sf_dir), _vocab(spark, sf_dir))
     return C.center_rows(cen).select("list_id", F.col("dim").cast("long").alias("dim"), _r6("value"))
 
 
-@register("center_json")
+# ----------------------------------------------------------------- S10: centre as JSON text
+
+@register("center_json", O.with_(O.FILTERED_CTE, """
+SELECT list_id,
+       '[' || array_to_string(list_transform(list(value ORDER BY dim),
+                                             lambda x: printf('%.6f', round(x, 6) + 0.0)), ',') || ']'
+         AS center_json
+FROM cdim GROUP BY list_id"""))
 def q_center_json(spark, sf_dir):
     cen = C.centers(FX.word_lists(spark, sf_dir), _vocab(spark, sf_dir))
-    return C.center_json(cen.where(F.col("center").isNotNull()))
+    return C.center_json(cen.where(F.col("center").isNotNull()), decimals=6)
 
 
 # ----------------------------------------------------------------- J2, J3, A4: nearest word
@@ -242,7 +249,7 @@ def _fixed_scored(spark, sf_dir):
 
 
 @register("predict_pairs", O.with_(O.FACTORS_CTE, """
-SELECT "user", item, rating, round(prediction, 6) AS prediction FROM pred"""))
+SELECT "user", item, rating, round(prediction, 6) + 0.0 AS prediction FROM pred"""))
 def q_predict_pairs(spark, sf_dir):
     s = _fixed_scored(spark, sf_dir).where("known")
     return s.select("user", "item", "rating", _r6("prediction"))
@@ -372,7 +379,7 @@ def q_store_latest(spark, sf_dir):
 
 @register("features_long", O.with_(_STORE_CTE, """
 SELECT model_name, version, kind, id::INTEGER AS id,
-       list_transform(features, lambda x: round(x::DOUBLE, 6)) AS features
+       list_transform(features, lambda x: round(x::DOUBLE, 6) + 0.0) AS features
 FROM facv"""))
 def q_features_long(spark, sf_dir):
     st = build_store(spark, sf_dir)
@@ -447,7 +454,7 @@ def q_model_names(spark, sf_dir):
 # ----------------------------------------------------------------- S4: binary vector files
 
 @register("w2v_import", O.with_(O.VOCAB_CTE, """
-SELECT word, word_idx, list_transform(vec, lambda x: round(x::DOUBLE, 6)) AS vec FROM vocab"""))
+SELECT word, word_idx, list_transform(vec, lambda x: round(x::DOUBLE, 6) + 0.0) AS vec FROM vocab"""))
 def q_w2v_import(spark, sf_dir):
     from vecfactor.sources.w2v import read_vectors, write_vectors
     path = shared_path(spark, "vectors")
