@@ -139,3 +139,14 @@ def test_train_and_store_names(spark, tmpdir_shared):
     assert len(gen) == NAME_LENGTH and set(gen) <= set(NAME_ALPHABET)
     items = {r["id"] for r in st.features(["alpha"]).where("kind = 'item'").collect()}
     assert items == {1, 3}                             # full retrain on the winning upload only
+
+
+def test_features_json_documents(spark, tmpdir_shared):
+    import json
+    st = ModelStore(spark, tmpdir_shared + "/store5")
+    f, m = _factors(spark, "delta", 0.5)
+    st.save(f, m)
+    doc = json.loads(st.features_json().first()["document"])
+    assert doc == {"userFeatures": {"1": [0.5, 0.0]}, "productFeatures": {"2": [1.0, 1.0]}}
+    fixed = json.loads(st.features_json(decimals=6).first()["document"])
+    assert fixed == doc

@@ -388,9 +388,19 @@ def q_features_long(spark, sf_dir):
                     F.transform("features", lambda x: F.round(x.cast("double"), 6)).alias("features"))
 
 
-@register("features_json")
+def _doc_part(kind):
+    return (f"coalesce(string_agg(CASE WHEN kind = '{kind}' THEN '\"' || id || '\": [' || "
+            "array_to_string(list_transform(features, lambda x: printf('%.6f', round(x::DOUBLE, 6) + 0.0)), ', ')"
+            " || ']' END, ', ' ORDER BY id), '')")
+
+
+@register("features_json", O.with_(_STORE_CTE, f"""
+SELECT model_name, version, floor(id / 4096)::BIGINT AS blk,
+       '{{"userFeatures": {{' || {_doc_part('user')} || '}}, "productFeatures": {{' || {_doc_part('item')} || '}}}}'
+         AS document
+FROM facv GROUP BY model_name, version, floor(id / 4096)::BIGINT"""))
 def q_features_json(spark, sf_dir):
-    return build_store(spark, sf_dir).features_json()
+    return build_store(spark, sf_dir).features_json(decimals=6)
 
 
 @register("eval_latest", O.with_(_STORE_CTE + """,

@@ -107,21 +107,33 @@ class ModelStore:
         return (f.join(live, ["model_name", "version", "attempt"])
                 .select("model_name", "version", "kind", "id", "features"))
 
-    def features_json(self, chunk_rows: int = 4096) -> DataFrame:
+    def features_json(self, chunk_rows: int = 4096, decimals: int | None = None) -> DataFrame:
         """Feature documents ``{"userFeatures": {id: [..]}, "productFeatures": {..}}``.
 
         One document per (model, id block of ``chunk_rows`` ids): the service
         answered with one document per model, which for a large model would be
         one unbounded row; blocks merge back into that document by key union.
+        Ids are in ascending order inside a document. With ``decimals`` the
+        values are rounded and written in fixed-point notation.
         """
         f = self.features().withColumn("blk", F.floor(F.col("id") / chunk_rows))
-        g = f.groupBy("model_name", "version", "blk").agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("kind") == "user", F.struct("id", "features"))))
-            .alias("u"),
-            F.map_from_entries(F.collect_list(F.when(F.col("kind") == "item", F.struct("id", "features"))))
-            .alias("p"))
-        return g.select("model_name", "version", "blk", F.to_json(F.struct(
-            F.col("u").alias("userFeatures"), F.col("p").alias("productFeatures"))).alias("document"))
+
+        def entries(kind):
+            return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("id", "features"))))
+        g = f.groupBy("model_name", "version", "blk").agg(entries("user").alias("u"), entries("item").alias("p"))
+        if decimals is None:
+            doc = F.to_json(F.struct(F.map_from_entries("u").alias("userFeatures"),
+                                     F.map_from_entries("p").alias("productFeatures")))
+        else:
+            def obj(col):
+                return F.array_join(F.transform(col, lambda e: F.concat(
+                    F.lit('"'), e["id"].cast("string"), F.lit('": ['),
+                    F.array_join(F.transform(e["features"], lambda x: F.format_string(
+                        f"%.{decimals}f", F.round(x.cast("double"), decimals))), ", "),
+                    F.lit("]"))), ", ")
+            doc = F.concat(F.lit('{"userFeatures": {'), obj(F.col("u")), F.lit('}, "productFeatures": {'),
+                           obj(F.col("p")), F.lit("}}"))
+        return g.select("model_name", "version", "blk", doc.alias("document"))
 
     # ------------------------------------------------------------------ writes
     @staticmethod
