@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vecfactor.functions.text import split_tokens
 from vecfactor.plans.ranking import global_row_number
+from vecfactor.plans.sizing import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``list_id LONG, words ARRAY<STRING>``: one list per document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("list_id"), split_tokens("text").alias("words"))
 
 
@@ -58,7 +59,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user INT, item INT, rating DOUBLE, ts, event_id`` per event."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"))
     return ev.select(
         F.col("user_id").cast("int").alias("user"),
         F.get_json_object("props", "$.k").cast("int").alias("item"),

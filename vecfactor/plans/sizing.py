@@ -30,3 +30,18 @@ def maybe_broadcast(df: DataFrame, nbytes: int, limit: int) -> tuple[DataFrame,
     if nbytes <= limit:
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a small input over all task slots.
+
+    A scan with fewer splits than the cluster has cores (one small file, one
+    row group) would run all per-row work before the first shuffle in a few
+    tasks. Only then are its rows redistributed round-robin (whole rows, so a
+    document's tokens stay together); a large input keeps its scan splits and
+    pays nothing.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
