@@ -2,16 +2,20 @@
 
 Layout below ``root`` (a folder every executor sees):
 
-* ``factors/``      Parquet partitioned by ``model_name, version, attempt``;
-                    columns ``kind ('user'|'item'), id INT, features ARRAY<FLOAT>``
+* ``factors/``      Parquet partitioned by ``attempt`` (one folder per save
+                    batch); columns ``kind ('user'|'item'), id INT,
+                    features ARRAY<FLOAT>, model_name, version``, each model
+                    clustered in one file and sorted, so a name filter skips
+                    row groups by their min/max statistics
 * ``index/``        append-only Parquet, one row per operation:
                     ``model_name, version, op ('save'|'delete'), created_at,
                     rank, iterations, reg, n_ratings, attempt``
 * ``evaluations/``  append-only Parquet: ``model_name, version, evaluated_at,
                     n, n_unknown, mse``
 
-Every operation handles a *batch* of models in one job. A save writes new
-partition folders first and the index rows last, so a failed save never hides
+Every operation handles a *batch* of models in one job. Folders are per save
+batch, not per model: many small models do not become many small folders.
+A save writes its new folder first and the index rows last, so a failed save never hides
 the previous version; nothing is overwritten or removed. Versions grow per
 name with every operation; the live version of a name is its highest-version
 index row when that row is a save. Every save call writes under a fresh
@@ -94,8 +98,9 @@ class ModelStore:
     def features(self, names: list[str] | None = None) -> DataFrame:
         """Long format ``model_name, version, kind, id, features`` of live versions.
 
-        A name list becomes a partition filter on ``model_name``; the join with
-        the live versions prunes ``version`` partitions.
+        A name list becomes a pushed-down Parquet filter on ``model_name``
+        (row groups of other models are skipped); the join with the live
+        ``(model_name, version, attempt)`` rows can prune whole save folders.
         """
         f = self.factors()
         live = self.latest().select("model_name", "version", "attempt")
@@ -173,7 +178,9 @@ class ModelStore:
         (factors.join(keys, "model_name")
          .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"),
                  "model_name", "version", "attempt")
-         .write.mode("append").partitionBy("model_name", "version", "attempt").parquet(self.factors_path))
+         .repartition("model_name")                    # a model's rows in one file
+         .sortWithinPartitions("model_name", "kind", "id")
+         .write.mode("append").partitionBy("attempt").parquet(self.factors_path))
         versions.select(*INDEX_SCHEMA.fieldNames()).write.mode("append").parquet(self.index_path)
         return versions.select("model_name", "version")
 
