@@ -51,6 +51,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a reliable checkpoint keeps the tokenisation to one pass
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     ranked = global_row_number(counts, [F.col("cnt").desc(), F.col("word").asc()], "word_idx")
+    n_vectors = emb.count()  # one number (Parquet metadata): only that many ranks can match
+    ranked = ranked.where(F.col("word_idx") < n_vectors)
     return (ranked.join(emb, ranked.word_idx == emb.vec_id)
             .select("word", "word_idx", F.col("embedding").alias("vec")))
 
