@@ -56,3 +56,11 @@ def test_write_then_read_roundtrip(spark, tmpdir_shared):
     back = sorted(read_vectors(spark, out, records_per_partition=7).collect(), key=lambda r: r["word_idx"])
     assert [(r["word"], r["word_idx"]) for r in back] == [(w, i) for w, i, _ in rows]
     assert np.allclose([r["vec"] for r in back], [v for _, _, v in rows])
+
+
+def test_long_and_non_ascii_words_kept_whole(spark, tmpdir_shared):
+    p = os.path.join(tmpdir_shared, "long.bin")
+    words = ["b" * 70, "ñandú", "x"]
+    _write(p, words, [[1.0], [2.0], [3.0]])
+    rows = sorted(read_vectors(spark, p).collect(), key=lambda r: r["word_idx"])
+    assert [r["word"] for r in rows] == words
