@@ -9,3 +9,23 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions and classes by value.
+
+    Python tasks (the nearest-word kernel, the per-model ALS, the vector-file
+    data source) then run on executors that do not have the package on their
+    path, e.g. when a job is started from another directory without
+    ``--py-files``.
+    """
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark is a hard dependency
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
