@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from vecfactor.functions import text as T
 from vecfactor.operators import centers as C
+from vecfactor.operators import factors as MF
 from vecfactor.operators.nearest import nearest_words
 from vecfactor.plans import fixtures as FX
 from vecfactor.plans import oracle as O
+from vecfactor.session import shared_path
+from vecfactor.sources import payloads as P
+from vecfactor.sources.store import ModelStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,7 +184,6 @@ def q_nearest_word(spark, sf_dir):
 
 # ----------------------------------------------------------------- S1, S2, F1-F5, A5: uploads
 
-from vecfactor.sources import payloads as P  # noqa: E402
 
 _UPLOADS_SQL = O.RATINGS_CTE + """,
 up AS (
@@ -238,8 +241,6 @@ def q_word_payloads(spark, sf_dir):
 
 # ----------------------------------------------------------------- J4, M5, A3, M6: scoring
 
-from vecfactor.operators import factors as MF  # noqa: E402
-
 
 def _fixed_scored(spark, sf_dir):
     r = FX.ratings(spark, sf_dir)
@@ -301,9 +302,6 @@ def q_als_mse(spark, sf_dir):
 
 # ----------------------------------------------------------------- S6-S9, S11, M3, M7: model store
 
-from vecfactor.session import shared_path  # noqa: E402
-from vecfactor.sources.store import ModelStore  # noqa: E402
-
 
 def _typed_batch(spark, sf_dir, half):
     """Factors + meta for one model per event type, trained on one half."""
