@@ -64,3 +64,20 @@ def test_long_and_non_ascii_words_kept_whole(spark, tmpdir_shared):
     _write(p, words, [[1.0], [2.0], [3.0]])
     rows = sorted(read_vectors(spark, p).collect(), key=lambda r: r["word_idx"])
     assert [r["word"] for r in rows] == words
+
+
+def test_uri_paths_use_windowed_reads(spark, tmpdir_shared):
+    """Storage addressed by URI (read through pyarrow.fs, no mmap) gives the
+    same rows, also with a read window smaller than one record."""
+    rows = [(f"w{i}" * (1 + i % 5), i, [float(i), float(-i), 0.25, 32.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "word string, word_idx long, vec array<float>")
+    out = "file://" + os.path.join(tmpdir_shared, "uri_vecs")
+    write_vectors(df, out, n_files=3)
+    for window in ("7", "100000"):
+        back = (spark.read.format("word2vec_bin").option("path", out).option("recordsPerPartition", "40")
+                .option("windowBytes", window).load().collect())
+        back = sorted(back, key=lambda r: r["word_idx"])
+        assert [(r["word"], r["word_idx"]) for r in back] == [(w, i) for w, i, _ in rows]
+        assert np.allclose([r["vec"] for r in back], [v for _, _, v in rows])
+    with pytest.raises(Exception):
+        read_vectors(spark, "file://" + os.path.join(tmpdir_shared, "missing")).collect()

@@ -16,6 +16,10 @@ by hopping word-by-word (a ``find`` for the space, then ``4*dim`` bytes), and
 decodes its range into Arrow batches with vectorised gathers. Only the
 headers are read while planning. Import once, then keep the table as Parquet.
 
+Local paths are memory-mapped; URIs (``file://``, ``hdfs://``, ``s3://``,
+whatever pyarrow's file systems reach) are read through a sliding window of
+``windowBytes``, so the same reader works on shared cluster storage.
+
 Writing: each task writes one ``part-NNNNN.bin`` file with its own header.
 """
 
@@ -39,7 +43,30 @@ class VectorFileError(ValueError):
     pass
 
 
+def _is_uri(path: str) -> bool:
+    return "://" in path
+
+
+def _fs(path: str):
+    import pyarrow.fs as pafs
+    return pafs.FileSystem.from_uri(path)
+
+
 def _files(path: str) -> list[str]:
+    """The file itself, or the files of a folder in name order."""
+    if _is_uri(path):
+        import pyarrow.fs as pafs
+        fs, p = _fs(path)
+        info = fs.get_file_info(p)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if info.type == pafs.FileType.Directory:
+            scheme = path.split("://", 1)[0]
+            names = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(p))
+                           if i.type == pafs.FileType.File
+                           and not os.path.basename(i.path).startswith((".", "_")))
+            return [f"{scheme}://{n}" for n in names]
+        return [path]
     if os.path.isdir(path):
         names = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
         return [os.path.join(path, f) for f in names]
@@ -50,14 +77,51 @@ def _files(path: str) -> list[str]:
 
 def read_header(path: str) -> tuple[int, int, int]:
     """``(n, dim, offset of the first record)``."""
-    with open(path, "rb") as f:
-        head = f.read(128)
+    if _is_uri(path):
+        fs, p = _fs(path)
+        with fs.open_input_file(p) as f:
+            head = f.read_at(min(128, f.size()), 0)
+    else:
+        with open(path, "rb") as f:
+            head = f.read(128)
     m = _HEADER.match(head)
     if not m:
         raise VectorFileError(f"{path}: no 'n dim' header")
     return int(m.group(1)), int(m.group(2)), m.end()
 
 
+class _Window:
+    """``find`` and slicing over a remote file through a sliding read window
+    (the memory-map interface the scanner uses, for storage without mmap)."""
+
+    def __init__(self, f, window: int):
+        self.f, self.size, self.window = f, f.size(), window
+        self.lo, self.buf = 0, b""
+
+    def _load(self, start: int, need_end: int):
+        end = min(self.size, max(need_end, start + self.window))
+        self.buf, self.lo = self.f.read_at(end - start, start), start
+
+    def __len__(self):
+        return self.size
+
+    def __getitem__(self, sl: slice) -> bytes:
+        a, b = sl.start, min(sl.stop, self.size)
+        if a < self.lo or b > self.lo + len(self.buf):
+            self._load(a, b)
+        return self.buf[a - self.lo:b - self.lo]
+
+    def find(self, sub: bytes, pos: int) -> int:
+        while pos < self.size:
+            if not (self.lo <= pos < self.lo + len(self.buf)):
+                self._load(pos, pos + 1)
+            i = self.buf.find(sub, pos - self.lo)
+            if i >= 0:
+                return self.lo + i
+            pos = self.lo + len(self.buf)
+        return -1
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, first: int, count: int, base_idx: int, dim: int):
         self.path, self.start, self.first, self.count = path, start, first, count
@@ -94,6 +158,7 @@ class _Reader(DataSourceReader):
         self.path = options.get("path")
         self.records_per_partition = int(options.get("recordsPerPartition", "250000"))
         self.batch_rows = int(options.get("batchRows", "8192"))
+        self.window_bytes = int(options.get("windowBytes", str(64 * 1024 * 1024)))
 
     def partitions(self):
         parts, base = [], 0
@@ -108,6 +173,13 @@ class _Reader(DataSourceReader):
     def read(self, part: _Range):
         if part.count == 0:
             return
+        if _is_uri(part.path):
+            fs, p = _fs(part.path)
+            with fs.open_input_file(p) as f:
+                src = _Window(f, self.window_bytes)
+                pos = _skip(src, part.start, part.dim, part.first, part.path)
+                yield from self._batches(src, pos, part)
+            return
         with open(part.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mm:
             pos = _skip(mm, part.start, part.dim, part.first, part.path)
             yield from self._batches(mm, pos, part)
@@ -142,28 +214,55 @@ class _Writer(DataSourceWriter):
         self.path = options.get("path")
         self.overwrite = overwrite
 
+    @staticmethod
+    def _records(rows):
+        """(dim, record bytes) per row, with the file-format checks."""
+        dim = None
+        for r in rows:
+            vec = np.asarray(r["vec"], dtype="<f4")
+            if dim is None:
+                dim = len(vec)
+            elif len(vec) != dim:
+                raise VectorFileError(f"vector of length {len(vec)} in a file of dimension {dim}")
+            word = r["word"].encode("utf-8")
+            if b" " in word:
+                raise VectorFileError(f"word with a space: {r['word']!r}")
+            yield dim, word + b" " + vec.tobytes()
+
+    @staticmethod
+    def _header(n: int, dim: int | None) -> bytes:
+        return f"{n:>{_HEADER_WIDTH}d} {dim or 0:>{_HEADER_WIDTH}d}\n".encode()
+
     def write(self, rows):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        os.makedirs(self.path, exist_ok=True)
-        fp = os.path.join(self.path, f"part-{pid:05d}.bin")
+        name = f"part-{pid:05d}.bin"
         n, dim = 0, None
+        if _is_uri(self.path):
+            # object stores cannot seek back to the header: the task's records
+            # are held until the count is known (a task holds one file range)
+            fs, p = _fs(self.path)
+            fs.create_dir(p, recursive=True)
+            recs = []
+            for dim, rec in self._records(rows):
+                recs.append(rec)
+            n = len(recs)
+            fp = f"{self.path.rstrip('/')}/{name}"
+            with fs.open_output_stream(f"{p.rstrip('/')}/{name}") as f:
+                f.write(self._header(n, dim))
+                for rec in recs:
+                    f.write(rec)
+            return _Commit(fp, n)
+        os.makedirs(self.path, exist_ok=True)
+        fp = os.path.join(self.path, name)
         with open(fp, "wb") as f:
             f.write(b" " * (2 * _HEADER_WIDTH + 2))
-            for r in rows:
-                vec = np.asarray(r["vec"], dtype="<f4")
-                if dim is None:
-                    dim = len(vec)
-                elif len(vec) != dim:
-                    raise VectorFileError(f"vector of length {len(vec)} in a file of dimension {dim}")
-                word = r["word"].encode("utf-8")
-                if b" " in word:
-                    raise VectorFileError(f"word with a space: {r['word']!r}")
-                f.write(word + b" " + vec.tobytes())
+            for dim, rec in self._records(rows):
+                f.write(rec)
                 n += 1
             f.seek(0)
-            f.write(f"{n:>{_HEADER_WIDTH}d} {dim or 0:>{_HEADER_WIDTH}d}\n".encode())
+            f.write(self._header(n, dim))
         return _Commit(fp, n)
 
     def commit(self, messages):
