@@ -47,6 +47,11 @@ def _is_uri(path: str) -> bool:
     return "://" in path
 
 
+def _norm(path: str) -> str:
+    """Hadoop-style ``file:/x`` is a local path."""
+    return path[5:] if path.startswith("file:") and not path.startswith("file://") else path
+
+
 def _fs(path: str):
     import pyarrow.fs as pafs
     return pafs.FileSystem.from_uri(path)
@@ -155,7 +160,7 @@ def _skip(mm, pos: int, dim: int, count: int, path: str) -> int:
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options.get("path")
+        self.path = _norm(options.get("path"))
         self.records_per_partition = int(options.get("recordsPerPartition", "250000"))
         self.batch_rows = int(options.get("batchRows", "8192"))
         self.window_bytes = int(options.get("windowBytes", str(64 * 1024 * 1024)))
@@ -211,7 +216,7 @@ class _Commit(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
-        self.path = options.get("path")
+        self.path = _norm(options.get("path"))
         self.overwrite = overwrite
 
     @staticmethod
