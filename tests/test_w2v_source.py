@@ -81,3 +81,12 @@ def test_uri_paths_use_windowed_reads(spark, tmpdir_shared):
         assert np.allclose([r["vec"] for r in back], [v for _, _, v in rows])
     with pytest.raises(Exception):
         read_vectors(spark, "file://" + os.path.join(tmpdir_shared, "missing")).collect()
+
+
+def test_import_keeps_first_of_repeated_words(spark, tmpdir_shared):
+    from vecfactor.sources.w2v import import_vectors
+    p = os.path.join(tmpdir_shared, "dup.bin")
+    _write(p, ["a", "b", "a"], [[1.0], [2.0], [3.0]])
+    v = {r["word"]: (r["word_idx"], r["vec"]) for r in
+         import_vectors(spark, p, os.path.join(tmpdir_shared, "dup_parquet")).collect()}
+    assert v == {"a": (0, [1.0]), "b": (1, [2.0])}

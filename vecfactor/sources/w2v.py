@@ -308,3 +308,15 @@ def write_vectors(df, path: str, n_files: int | None = None):
     out = df.repartitionByRange(n_files or df.sparkSession.sparkContext.defaultParallelism, "word_idx") \
         .sortWithinPartitions("word_idx") if "word_idx" in df.columns else df
     out.select("word", "vec").write.format("word2vec_bin").mode("append").option("path", path).save()
+
+
+def import_vectors(spark, path: str, out: str, records_per_partition: int = 250000):
+    """Import a vector file (or folder) once into Parquet, one row per word.
+
+    A repeated word keeps its first vector in file order, as the lookup of the
+    service did; later jobs read ``out`` with ``spark.read.parquet``.
+    """
+    from vecfactor.operators.centers import dedup_vocabulary
+    vocab = dedup_vocabulary(read_vectors(spark, path, records_per_partition))
+    vocab.write.mode("errorifexists").parquet(out)
+    return spark.read.parquet(out)
