@@ -122,6 +122,22 @@ def q_vector_props(spark, sf_dir):
                  F.min(F.size("vec")).cast("long").alias("min_dim"))
 
 
+@register("vocab_dedup", O.with_(O.VOCAB_CTE, """
+SELECT word, word_idx, list_transform(vec, lambda x: round(x::DOUBLE, 6) + 0.0) AS vec FROM vocab"""))
+def q_vocab_dedup(spark, sf_dir):
+    """J1's first-match rule on a vector table with every word twice: the
+    copy after the original in file order (index + N, another vector) must
+    lose."""
+    v = FX.vocabulary(spark, sf_dir)
+    emb = FX.table(spark, sf_dir, "embeddings")
+    n = emb.count()
+    dup = (v.select("word", (F.col("word_idx") + F.lit(n)).alias("word_idx"),
+                    (F.lit(n - 1) - F.col("word_idx")).alias("vec_id"))
+           .join(emb, "vec_id").select("word", "word_idx", F.col("embedding").alias("vec")))
+    d = C.dedup_vocabulary(dup.unionByName(v))
+    return d.select("word", "word_idx", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
 # ----------------------------------------------------------------- J1, F11, A2
 
 @register("word_lookup", O.with_(O.FILTERED_CTE, "SELECT list_id, pos, word, word_idx FROM known"))
