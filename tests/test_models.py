@@ -150,3 +150,17 @@ def test_features_json_documents(spark, tmpdir_shared):
     assert doc == {"userFeatures": {"1": [0.5, 0.0]}, "productFeatures": {"2": [1.0, 1.0]}}
     fixed = json.loads(st.features_json(decimals=6).first()["document"])
     assert fixed == doc
+
+
+def test_als_matches_the_rdd_api_with_equal_seed_and_blocks(spark):
+    """The service trained with the RDD API; with the same seed and block
+    counts the DataFrame ALS gives the same factors."""
+    from pyspark.mllib.recommendation import ALS as RddALS
+    r = _planted(spark, n_users=30, n_items=20, rank=3, seed=5)
+    model = MF.train(r, rank=3, iterations=8, reg=0.05, seed=11, num_blocks=3)
+    rdd_model = RddALS.train(r.rdd.map(lambda x: (x["user"], x["item"], x["rating"])),
+                             3, 8, 0.05, blocks=3, seed=11)
+    ours = {row["id"]: np.array(row["features"]) for row in MF.user_factors(model).collect()}
+    theirs = {u: np.array(f) for u, f in rdd_model.userFeatures().collect()}
+    assert set(ours) == set(theirs)
+    assert max(np.abs(ours[k] - theirs[k]).max() for k in ours) < 1e-4
