@@ -233,11 +233,13 @@ def q_ratings_flatten(spark, sf_dir):
 
 @register("ratings_last_wins", O.with_(O.RATINGS_CTE.split(",\nratings AS")[0] + """,
 d AS (SELECT "user", item, rating, ts, event_id, ts::DATE AS day, hour(ts) // 2 AS slot,
+             floor(event_id / 4096)::BIGINT AS eblk,
              hour(ts) % 2 = 1 AS second FROM ev),
-g AS (SELECT "user", day, slot, bool_or(second) AS has_second FROM d GROUP BY ALL)""", """
-SELECT 'd' || d."user" || '-' || strftime(d.day, '%Y%m%d') || '-' || d.slot AS upload_id, d."user", d.item,
+g AS (SELECT "user", day, slot, eblk, bool_or(second) AS has_second FROM d GROUP BY ALL)""", """
+SELECT 'd' || d."user" || '-' || strftime(d.day, '%Y%m%d') || '-' || d.slot || '-' || d.eblk AS upload_id,
+       d."user", d.item,
        arg_max(d.rating, {'t': d.ts, 'e': d.event_id}) AS rating
-FROM d JOIN g ON g."user" = d."user" AND g.day = d.day AND g.slot = d.slot
+FROM d JOIN g ON g."user" = d."user" AND g.day = d.day AND g.slot = d.slot AND g.eblk = d.eblk
 WHERE d.second = g.has_second
 GROUP BY ALL"""))
 def q_ratings_last_wins(spark, sf_dir):

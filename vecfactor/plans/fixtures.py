@@ -147,8 +147,13 @@ def rating_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         payload.alias("payload"), v.alias("variant"))
 
 
+EVENT_BLOCK = 4096  # events per derived upload at most (by event id)
+
+
 def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``upload_id, payload``: one upload per (user, day, two-hour slot).
+    """``upload_id, payload``: one upload per (user, day, two-hour slot, block
+    of ``EVENT_BLOCK`` event ids), so no upload holds more than that many
+    events however active a user is.
 
     Every event of the slot is in it, in event order, so an item repeats and
     its later value must win; events of the slot's first hour sit under the
@@ -158,12 +163,13 @@ def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = (event_items(spark, sf_dir).withColumn("day", F.to_date("ts"))
           .withColumn("slot", (F.hour("ts") / 2).cast("int"))
+          .withColumn("eblk", F.floor(F.col("event_id") / EVENT_BLOCK))
           .withColumn("second", (F.hour("ts") % 2) == 1))
 
     def block(second: bool):
         return F.array_sort(F.collect_list(F.when(F.col("second") == F.lit(second),
                                                   F.struct("ts", "event_id", "item", "rating"))))
-    g = ev.groupBy("user", "day", "slot").agg(block(False).alias("b1"), block(True).alias("b2"))
+    g = ev.groupBy("user", "day", "slot", "eblk").agg(block(False).alias("b1"), block(True).alias("b2"))
 
     def obj(arr):
         return _json_obj(F.transform(arr, lambda x: F.struct(x["item"].cast("string").alias("k"),
@@ -175,7 +181,7 @@ def duplicate_key_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("b2") > 0, F.concat(F.lit('"0'), user_s, F.lit('": '), obj(F.col("b2"))))), F.lit("}"))
     return g.select(
         F.concat(F.lit("d"), user_s, F.lit("-"), F.date_format("day", "yyyyMMdd"), F.lit("-"),
-                 F.col("slot").cast("string")).alias("upload_id"),
+                 F.col("slot").cast("string"), F.lit("-"), F.col("eblk").cast("string")).alias("upload_id"),
         F.concat(F.lit('{"ratings": '), ratings_json,
                  F.lit(', "rank": 2, "iterations": 3, "lambda": 0.01}')).alias("payload"))
 
