@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfactor.llm import chat, mixing, packing, quality_rules, sharding
+from vecfactor.llm import (chat, jaccard_join, lm_bloom, mixing, packing, quality_rules, rule_ensemble, sharding,
+                           toxicity)
 from vecfactor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,26 @@ def op4(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+@register("op5_rule_ensemble")
+def op5(spark, sf_dir):
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op6_jaccard_join")
+def op6(spark, sf_dir):
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"), jaccard_join.CONTRACT)
+
+
+@register("op7_lm_bloom")
+def op7(spark, sf_dir):
+    return lm_bloom.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity_lexicon")
+def op9(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op10_ring_shards")
 def op10(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
