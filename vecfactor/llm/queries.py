@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfactor.llm import (chat, jaccard_join, lm_bloom, mixing, packing, quality_rules, rule_ensemble, sharding,
-                           toxicity)
+from vecfactor.llm import (bm25_search, chat, jaccard_join, lm_bloom, mixing, packing, quality_rules, rule_ensemble,
+                           sharding, toxicity)
 from vecfactor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def op7(spark, sf_dir):
     return lm_bloom.lm_scores(table(spark, sf_dir, "documents"))
 
 
+@register("op8_block_max_bm25")
+def op8(spark, sf_dir):
+    return bm25_search.search_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op9_toxicity_lexicon")
 def op9(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
