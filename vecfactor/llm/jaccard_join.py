@@ -53,6 +53,7 @@ from vecfactor.llm.lm_bloom import _M1, U64, WordHash, _mix
 SKETCH_BITS = 22       # buckets of the shingle counts: 2 ** 22 counters of 4 bytes, fixed
 COLUMN_BLOCKS = 64     # blocks of columns for the overlap bound
 TILE = 256             # documents per tile in round two
+BROADCAST_IDS = 1_000_000  # ids broadcast at most (8 bytes each)
 
 
 @dataclass(frozen=True)
@@ -90,23 +91,39 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def set_digests(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2): set size and a 128-bit digest of the set."""
+def signatures(docs: DataFrame, spec: JoinSpec, sketch) -> DataFrame:
+    """(doc_id, n, d1, d2, keys, blocks), one row per input row, in one pass over the
+    texts: set size, a 128-bit digest of the set, the prefix shingles and the
+    counts by column block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        words = WordHash()
+        words, counts = WordHash(), sketch.value
         for b in batches:
-            n, d1, d2 = [], [], []
+            n, d1, d2, keys, blocks = [], [], [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(words, t, k)
+                s = shingle_set(words, t, spec.k)
                 x = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 d1.append((x >> 64) - (1 << 63))
                 d2.append((x & ((1 << 64) - 1)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                                              pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
-    idt = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {idt}, n long, d1 long, d2 long")
+                keys.append(prefix_shingles(s, spec, counts).tobytes())
+                blocks.append(block_counts(s).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                 pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "keys", "blocks"])
+    return docs.select("doc_id", "text").mapInArrow(
+        run, "doc_id long, n long, d1 long, d2 long, keys binary, blocks binary")
+
+
+def prefix_shingles(s: np.ndarray, spec: JoinSpec, counts: np.ndarray) -> np.ndarray:
+    """The first ``spec.prefix`` shingles from rare to common (ties in the order all in:
+    more than the prefix is always safe)."""
+    p = spec.prefix(len(s)) if len(s) else 0
+    if p <= 0 or p >= len(s):
+        return s[:max(p, 0)]
+    rank = (counts[_bucket(s)].astype(U64) << U64(32)) | (s & U64(0xFFFFFFFF))
+    return s[rank <= np.partition(rank, p - 1)[p - 1]]
 
 
 def count_sketch(texts: DataFrame, k: int, chunks: int = 256, fan_in: int = 256) -> np.ndarray:
@@ -148,37 +165,16 @@ def block_counts(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & U64(COLUMN_BLOCKS - 1)).astype(np.int64), minlength=COLUMN_BLOCKS).astype(np.uint32)
 
 
-def prefix_rows(reps: DataFrame, spec: JoinSpec, sketch) -> DataFrame:
-    """(key, doc_id) for the prefix shingles of each document (doc_id, text)."""
-    def run(batches):
-        words, counts = WordHash(), sketch.value
-        for b in batches:
-            ids, keys = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle_set(words, t, spec.k)
-                p = spec.prefix(len(s)) if len(s) else 0
-                if p <= 0:
-                    continue
-                order = np.lexsort((s, counts[_bucket(s)]))[:p]
-                keys.append(s[order])
-                ids.append(np.full(p, d, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)),
-                                                  pa.array(np.concatenate(ids))], ["key", "doc_id"])
-    return reps.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
-
-
-def profiles(reps: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(doc_id, n, blocks): set size and its counts by column block."""
+def prefix_rows(reps: DataFrame) -> DataFrame:
+    """(key, doc_id) for the prefix shingles of each representative (doc_id, keys)."""
     def run(batches):
-        words = WordHash()
         for b in batches:
-            ids = b.column(0)
-            sets = [shingle_set(words, t, spec.k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([block_counts(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "blocks"])
-    return reps.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, blocks binary")
+            keys = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)),
+                     pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in keys]))], ["key", "doc_id"])
+    return reps.select("doc_id", "keys").mapInArrow(run, "key long, doc_id long")
 
 
 def _may_link(spec: JoinSpec, n1, n2, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -217,11 +213,20 @@ def bounded_pairs(pairs: DataFrame, prof: DataFrame, spec: JoinSpec) -> DataFram
     return j.select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, spec: JoinSpec) -> DataFrame:
-    """The pairs (a, b) that link, by the overlap of both whole texts. One side's
-    text is shuffled to the pair; a hot side is split by the skew join."""
-    ta = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+def texts_of(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
+    """(doc_id, text) of the documents in ``pairs``. Below a counted bound their ids
+    are broadcast, so that no text of other documents is shuffled."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    near = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return near.dropDuplicates(["doc_id", "text"]) if repeats else near
+
+
+def verified(pairs: DataFrame, near: DataFrame, spec: JoinSpec) -> DataFrame:
+    """The pairs (a, b) that link, by the overlap of both whole texts (``near``:
+    doc_id, text). A text that many pairs share is split by the skew join."""
+    ta = near.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    tb = near.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     j = pairs.join(tb, "b").join(ta, "a")
 
     def run(batches):
@@ -337,28 +342,27 @@ def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id",
     reachable over links, itself included)."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digests = materialise(set_digests(d, spec.k))
-    filled = digests.where("n > 0")
-    # a class is named by its smallest id; null ids only if there is no other
-    reps = materialise(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    rep_docs = d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    if _repeats(digests):
-        rep_docs = rep_docs.dropDuplicates(["doc_id", "text"])
-    sketch = spark.sparkContext.broadcast(count_sketch(rep_docs.select("text"), spec.k))
-    prefix = prefix_rows(rep_docs, spec, sketch)
-    lists, pairs = star_pairs(prefix)
-    touched = materialise(lists.select("doc_id").distinct())
-    near = rep_docs.join(touched, "doc_id", "left_semi")
-    prof = materialise(profiles(near, spec))
-    links = materialise(verified(bounded_pairs(pairs, prof, spec), near, spec))
+    sketch = spark.sparkContext.broadcast(count_sketch(d.select("text"), spec.k))
+    sigs = materialise(signatures(d, spec, sketch))
+    repeats = _repeats(sigs)
+    # a class is named by its smallest id; classes without any id have no name and no links
+    reps = materialise(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"),
+        F.min_by("blocks", "doc_id").alias("blocks")))
+    named = reps.where("doc_id is not null")
+    lists, pairs = star_pairs(prefix_rows(named))
+    prof = named.select("doc_id", "n", "blocks")
+    first = materialise(bounded_pairs(pairs, prof, spec))
+    links = materialise(verified(first, texts_of(d, first, repeats), spec))
     lab = components(links)
-    rest = materialise(open_pairs(lists, lab, prof, spec))
-    more = materialise(verified(rest, near, spec))
-    if more.limit(1).count():
-        lab = components(links.unionByName(more))
-    cls = reps.join(lab.select(F.col("v").alias("rep"), "c"), "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("c", "rep").alias("component_id"))
-    out = digests.join(cls, ["n", "d1", "d2"], "left")
+    second = materialise(open_pairs(lists, lab, prof, spec))
+    if second.limit(1).count():
+        more = materialise(verified(second, texts_of(d, second, repeats), spec))
+        if more.limit(1).count():
+            lab = components(links.unionByName(more))
+    cls = reps.join(lab, reps["doc_id"] == lab["v"], "left").select(
+        "n", "d1", "d2", F.coalesce("c", "doc_id").alias("component_id"))
+    out = sigs.select("doc_id", "n", "d1", "d2").join(cls, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
