@@ -26,8 +26,8 @@ rounding. Steps:
    different components. Every pair of a row list is in one component after
    round one, or is looked at in round two: no link is lost, and pairs inside a
    large group of near copies are never formed.
-6. Connected components by hooking to smaller neighbours, with a pointer jump in
-   each step; everything stays in tables.
+6. Connected components by pointing to smaller neighbours, pointer doubling and
+   contraction; everything stays in tables.
 
 Documents without words (or null text) have an empty set and link with nothing;
 fewer words than the shingle length make one shingle of all of them; rows
@@ -264,30 +264,33 @@ def _overlap(s: np.ndarray, t: np.ndarray, spec: JoinSpec, blocks: int = 4) -> i
 
 # ----------------------------------------------------------------- components
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, c): the smallest vertex that each vertex of the edges (a, b) reaches.
 
-    Each step hooks every component to the smallest label next to it, then jumps
-    to that label's own label; labels fall to the minimum in about log(diameter)
-    steps. A step is a few shuffles of edges and labels."""
-    und = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = materialise(und.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("c")))
-    for _ in range(rounds):
-        # the smallest label among a vertex's neighbours
-        near = (und.join(lab.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
-                .groupBy(F.col("a").alias("v")).agg(F.min("cb").alias("m")))
-        step = lab.join(near, "v").select("v", "c", F.least("c", "m").alias("m"))
-        # every label learns the smallest label that any of its vertices saw
-        hook = step.groupBy(F.col("c").alias("l")).agg(F.min("m").alias("to"))
-        new = (step.join(hook, step["c"] == hook["l"]).select("v", "c", F.least("m", "to").alias("n")))
-        jump = hook.select(F.col("l").alias("n"), F.col("to").alias("n2"))
-        new = materialise(new.join(jump, "n", "left").select(
-            "v", F.col("c").alias("old"), F.coalesce(F.least("n2", "n"), F.col("n")).alias("c")))
-        moved = new.where(F.col("old") != F.col("c")).limit(1).count()
-        lab = new.select("v", "c")
-        if not moved:
+    In each round every vertex points to its smallest neighbour if that is
+    smaller; pointer doubling flattens the resulting trees to their roots (about
+    log(depth) joins), and the edges are contracted to the roots. Rounds end when
+    no edge is left; few are needed, since only roots with edges stay."""
+    e = edges.where("a != b")
+    e = materialise(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    lab = e.select(F.col("a").alias("v")).distinct().withColumn("c", F.col("v"))
+    while True:
+        to = materialise(e.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p")))
+        while True:
+            nxt = to.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+            twice = materialise(to.join(nxt, to["p"] == nxt["_v"]).select("v", F.col("p").alias("old"),
+                                                                         F.col("_p").alias("p")))
+            moved = twice.where("p != old").limit(1).count()
+            to = twice.select("v", "p")
+            if not moved:
+                break
+        root = to.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
+        lab = materialise(lab.join(root, lab["c"] == root["_v"], "left").select("v", F.coalesce("_p", "c").alias("c")))
+        half = e.join(root, e["a"] == root["_v"]).select(F.col("_p").alias("a"), "b")
+        e = materialise(half.join(root, half["b"] == root["_v"]).select("a", F.col("_p").alias("b"))
+                        .where("a != b").distinct())
+        if not e.limit(1).count():
             return lab
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 # ----------------------------------------------------------------- round two
@@ -297,7 +300,8 @@ def open_pairs(lists: DataFrame, lab: DataFrame, prof: DataFrame, spec: JoinSpec
 
     A row list counts once even if several shingles have it (equal member sums);
     members are dealt to tiles of about ``TILE`` documents, and each pair of
-    tiles is one group of bounded size."""
+    tiles is one group of bounded size. A pair that shares several lists is formed
+    in the first of them only."""
     c = lists.join(lab, lists["doc_id"] == lab["v"], "left").select(
         "key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     state = (c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"),
@@ -305,36 +309,52 @@ def open_pairs(lists: DataFrame, lab: DataFrame, prof: DataFrame, spec: JoinSpec
              .where("lo < hi"))
     once = state.groupBy("m", "sig", "lo", "hi").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    mem = (c.join(once, "key").join(prof, "doc_id")
+    mem = c.join(once, "key")
+    # a document's open row lists: a pair is formed in the first list that both have
+    own_lists = mem.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    mem = (mem.join(own_lists.join(prof, "doc_id"), "doc_id")
            .withColumn("tile", F.pmod(F.xxhash64("doc_id", "key"), F.col("tiles")).cast("int")))
     # a tile meets every tile: one group per unordered pair of tiles
     mem = mem.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     mem = mem.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"),
-                     F.col("tile").alias("own"), "doc_id", "c", "n", "blocks")
+                     F.col("tile").alias("own"), "doc_id", "c", "n", "blocks", "keys")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["own"] == pdf["t1"]]
-        right = left if pdf["t1"].iloc[0] == pdf["t2"].iloc[0] else pdf[pdf["own"] == pdf["t2"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        bl, br = _blocks(left["blocks"]), _blocks(right["blocks"])
-        nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
-        cl, cr = left["c"].to_numpy(), right["c"].to_numpy()
-        il, ir = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-        a, b = [], []
-        for i in range(len(il)):
-            near = np.flatnonzero((cr != cl[i]) & (ir > il[i] if left is right else cr != cl[i])
-                                  & (nr * spec.den >= nl[i] * spec.num) & (nl[i] * spec.den >= nr * spec.num))
-            if len(near):
-                near = near[_may_link(spec, nl[i], nr[near], bl[i], br[near])]
-                a.append(np.minimum(il[i], ir[near]))
-                b.append(np.maximum(il[i], ir[near]))
-        if not a:
-            return pd.DataFrame({"a": [], "b": []})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        own = pdf["own"].to_numpy()
+        li = np.flatnonzero(own == pdf["t1"].iloc[0])
+        ri = np.flatnonzero(own == pdf["t2"].iloc[0])
+        ids, comp, n = pdf["doc_id"].to_numpy(), pdf["c"].to_numpy(), pdf["n"].to_numpy()
+        ok = comp[li][:, None] != comp[ri][None, :]
+        if pdf["t1"].iloc[0] == pdf["t2"].iloc[0]:
+            ok &= ids[li][:, None] < ids[ri][None, :]
+        nl, nr = n[li][:, None], n[ri][None, :]
+        ok &= (nr * spec.den >= nl * spec.num) & (nl * spec.den >= nr * spec.num)
+        if ok.any():
+            ok &= ~_earlier_list(pdf["keys"], int(pdf["key"].iloc[0]), li, ri)
+        i, j = np.nonzero(ok)
+        a, b = li[i], ri[j]
+        blocks, keep = _blocks(pdf["blocks"]), []
+        for lo in range(0, len(a), 1 << 15):
+            x, y = a[lo:lo + (1 << 15)], b[lo:lo + (1 << 15)]
+            keep.append(_may_link(spec, n[x], n[y], blocks[x], blocks[y]))
+        if keep:
+            good = np.concatenate(keep)
+            a, b = a[good], b[good]
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
     return mem.groupBy("key", "t1", "t2").applyInPandas(run, "a long, b long").distinct()
 
 
+def _earlier_list(keys, key: int, li: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Whether documents li x ri share a row list before ``key``: a product of two
+    small incidence matrices."""
+    lists = [np.asarray(k) for k in keys]
+    lists = [k[k < key] for k in lists]
+    cols, at = np.unique(np.concatenate(lists), return_inverse=True)
+    m = np.zeros((len(lists), len(cols)), np.float32)
+    m[np.repeat(np.arange(len(lists)), [len(k) for k in lists]), at] = 1.0
+    return (m[li] @ m[ri].T) > 0
+
+
 # ----------------------------------------------------------------- the join
 
 def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +373,10 @@ def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id",
     lists, pairs = star_pairs(prefix_rows(named))
     prof = named.select("doc_id", "n", "blocks")
     first = materialise(bounded_pairs(pairs, prof, spec))
-    links = materialise(verified(first, texts_of(d, first, repeats), spec))
+    links = verified(first, texts_of(d, first, repeats), spec)
+    if repeats:
+        links = links.unionByName(_same_id(sigs, named))
+    links = materialise(links)
     lab = components(links)
     second = materialise(open_pairs(lists, lab, prof, spec))
     if second.limit(1).count():
@@ -367,6 +390,15 @@ def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id",
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _same_id(sigs: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (representative, id) for the ids whose rows lie in several classes."""
+    own = (sigs.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
+           .join(named.select("n", "d1", "d2", F.col("doc_id").alias("rep")), ["n", "d1", "d2"])
+           .select("doc_id", "rep").distinct())
+    several = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
+    return own.join(several, "doc_id").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+
 def _repeats(digests: DataFrame) -> bool:
     """Whether some id occurs in more than one row."""
     return digests.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
