@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecfactor.functions.vectors import dot
+from vecfactor.plans.ranking import global_row_number
 from vecfactor.plans.sizing import broadcast_limit, maybe_broadcast, vector_table_bytes
 
 DEFAULT_SEED = 42
@@ -90,63 +91,44 @@ def mse(scored: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-# --------------------------------------------------------------------------- many small models
-
-_MANY_SCHEMA = "model_name string, kind string, id int, features array<float>"
-
-
-def _als_kernel(pdf, seed: int):
-    """Explicit ALS with weighted regularisation (lambda * n per row, as Spark's
-    ALS) for one model's ratings held in one pandas frame."""
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-    name = pdf["model_name"].iloc[0]
-    rank, iters, reg = int(pdf["rank"].iloc[0]), int(pdf["iterations"].iloc[0]), float(pdf["reg"].iloc[0])
-    users, u_idx = np.unique(pdf["user"].to_numpy(), return_inverse=True)
-    items, i_idx = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-    r = pdf["rating"].to_numpy(dtype=np.float64)
-    rng = np.random.default_rng([seed, zlib.crc32(name.encode("utf-8"))])  # stable per name
-
-    def unit(n):
-        m = rng.normal(size=(n, rank))
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
-    U, V = unit(len(users)), unit(len(items))
-    by_u = [np.nonzero(u_idx == k)[0] for k in range(len(users))]
-    by_i = [np.nonzero(i_idx == k)[0] for k in range(len(items))]
-    eye = np.eye(rank)
-
-    def solve(fixed, groups, other_idx):
-        out = np.empty((len(groups), rank))
-        for k, rows in enumerate(groups):
-            F_ = fixed[other_idx[rows]]
-            out[k] = np.linalg.solve(F_.T @ F_ + reg * len(rows) * eye, F_.T @ r[rows])
-        return out
-    for _ in range(iters):
-        V = solve(U, by_i, u_idx)
-        U = solve(V, by_u, i_idx)
-    return pd.DataFrame({
-        "model_name": [name] * (len(users) + len(items)),
-        "kind": ["user"] * len(users) + ["item"] * len(items),
-        "id": np.concatenate([users, items]).astype("int32"),
-        "features": [row.astype(np.float32) for row in np.vstack([U, V])]})
-
-
-def train_many(ratings: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Fit one model per ``model_name`` in parallel: ``model_name, kind, id, features``.
-
-    ``ratings``: ``model_name, user, item, rating, rank, iterations, reg``.
-    Each model is one group handled by one task, so this path is for models
-    whose ratings fit a task (an upload is one document); callers send larger
-    models to :func:`train` (see :func:`split_by_size`).
-    """
-    return ratings.groupBy("model_name").applyInPandas(lambda pdf: _als_kernel(pdf, seed), _MANY_SCHEMA)
+# --------------------------------------------------------------------------- many models in one fit
+
+MAX_DENSE_ID = 2**31 - 1  # ALS takes 32-bit ids
+
+
+def _dense(ratings: DataFrame, side: str) -> DataFrame:
+    """``model_name, <side>, _<side>``: a dense id for every (model, user) or (model, item)."""
+    keys = ratings.select("model_name", side).distinct()
+    return global_row_number(keys, ["model_name", side], f"_{side}")
 
 
-def split_by_size(ratings: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(small, large) models by rating count: the size check before grouping."""
-    sizes = ratings.groupBy("model_name").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = ratings.join(sizes, "model_name")
-    return (tagged.where(F.col("_n") <= max_rows).drop("_n"),
-            tagged.where(F.col("_n") > max_rows).drop("_n"))
+def train_many(ratings: DataFrame, seed: int = DEFAULT_SEED, num_blocks: int = 10) -> DataFrame:
+    """Fit one model per ``model_name``: ``model_name, kind, id, features``.
+
+    ``ratings``: ``model_name, user, item, rating, rank, iterations, reg``. All
+    models of equal parameters are fit by one distributed ALS over dense
+    (model, user) and (model, item) ids. Models share no id and the
+    regularisation is per row, so each model's factors solve its own normal
+    equations; models of any size take the same path. One fit runs per distinct
+    (rank, iterations, reg).
+    """
+    ratings = ratings.checkpoint(eager=True)
+    out = None
+    for p in ratings.select("rank", "iterations", "reg").distinct().orderBy("rank", "iterations", "reg").collect():
+        part = ratings.where((F.col("rank") == p["rank"]) & (F.col("iterations") == p["iterations"])
+                             & (F.col("reg") == p["reg"]))
+        users, items = _dense(part, "user").checkpoint(eager=True), _dense(part, "item").checkpoint(eager=True)
+        top = max(users.agg(F.max("_user")).first()[0], items.agg(F.max("_item")).first()[0])
+        if top > MAX_DENSE_ID:
+            raise ValueError(f"{top + 1} users or items exceed the 32-bit ids of ALS; train fewer models per batch")
+        dense = (part.join(users, ["model_name", "user"]).join(items, ["model_name", "item"])
+                 .select(F.col("_user").cast("int").alias("user"), F.col("_item").cast("int").alias("item"), "rating"))
+        model = train(dense, p["rank"], p["iterations"], p["reg"], seed=seed, num_blocks=num_blocks)
+        for kind, keys, f in (("user", users, model.userFactors), ("item", items, model.itemFactors)):
+            rows = (keys.join(f, F.col(f"_{kind}") == F.col("id")).select(
+                "model_name", F.lit(kind).alias("kind"), F.col(kind).cast("int").alias("id"), "features"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return ratings.sparkSession.createDataFrame(
+            [], "model_name string, kind string, id int, features array<float>")
+    return out

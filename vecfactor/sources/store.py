@@ -5,7 +5,7 @@ Layout below ``root`` (a folder every executor sees):
 * ``factors/``      Parquet partitioned by ``attempt`` (one folder per save
                     batch); columns ``kind ('user'|'item'), id INT,
                     features ARRAY<FLOAT>, model_name, version``, each model
-                    clustered in one file and sorted, so a name filter skips
+                    clustered in few files and sorted, so a name filter skips
                     row groups by their min/max statistics
 * ``index/``        append-only Parquet, one row per operation:
                     ``model_name, version, op ('save'|'delete'), created_at,
@@ -18,7 +18,8 @@ batch, not per model: many small models do not become many small folders.
 A save writes its new folder first and the index rows last, so a failed save never hides
 the previous version; nothing is overwritten or removed. Versions grow per
 name with every operation; the live version of a name is its highest-version
-index row when that row is a save. Every save call writes under a fresh
+index row (of two writers with one version, the later, then the larger attempt
+token) when that row is a save. Every save call writes under a fresh
 ``attempt`` token that its index rows name, so files left by a failed save
 (same name and version, no index row) are never read.
 """
@@ -53,6 +54,7 @@ EVAL_SCHEMA = T.StructType([
 
 # one index row per model in a batch: small, but still checked before broadcast
 _ROW_BYTES = 256
+RATINGS_PER_FILE = 1_000_000
 _MAX_BATCH_BROADCAST = 64 * 1024 * 1024
 
 
@@ -90,7 +92,7 @@ class ModelStore:
         """Live models: ``model_name, version, created_at, rank, iterations, reg, n_ratings``."""
         last = self.index().groupBy("model_name").agg(
             F.max_by(F.struct(*[c for c in INDEX_SCHEMA.fieldNames() if c != "model_name"]),
-                     "version").alias("r"))
+                     F.struct("version", "created_at", F.coalesce("attempt", F.lit("")))).alias("r"))
         return last.where(F.col("r.op") == "save").select(
             "model_name", "r.version", "r.created_at", "r.rank", "r.iterations", "r.reg", "r.n_ratings",
             "r.attempt")
@@ -175,10 +177,13 @@ class ModelStore:
         n = versions.count()
         keys, _ = maybe_broadcast(versions.select("model_name", "version", "attempt"),
                                   n * _ROW_BYTES, _MAX_BATCH_BROADCAST)
+        # a model of many ratings spreads over several files; small ones stay in one
+        top = versions.agg(F.max("n_ratings")).first()[0] or 0
+        spread = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-top // RATINGS_PER_FILE))))
         (factors.join(keys, "model_name")
          .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"),
                  "model_name", "version", "attempt")
-         .repartition("model_name")                    # a model's rows in one file
+         .repartition("model_name", spread)
          .sortWithinPartitions("model_name", "kind", "id")
          .write.mode("append").partitionBy("attempt").parquet(self.factors_path))
         versions.select(*INDEX_SCHEMA.fieldNames()).write.mode("append").parquet(self.index_path)
@@ -226,22 +231,20 @@ class ModelStore:
     def latest_evaluations(self) -> DataFrame:
         """Latest evaluation of every live model."""
         live = self.latest().select("model_name", "version")
-        last = self.evaluations().groupBy("model_name").agg(
-            F.max_by(F.struct("version", "evaluated_at", "n", "n_unknown", "mse"),
-                     F.struct("evaluated_at", "version")).alias("e"))
-        return (last.select("model_name", "e.*").join(live, ["model_name", "version"])
-                .select("model_name", "version", "evaluated_at", "n", "n_unknown", "mse"))
+        last = self.evaluations().join(live, ["model_name", "version"]).groupBy("model_name", "version").agg(
+            F.max_by(F.struct("evaluated_at", "n", "n_unknown", "mse"), "evaluated_at").alias("e"))
+        return last.select("model_name", "version", "e.*")
 
 
 def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "upload_id",
-                    max_group_rows: int = 1_000_000, seed: int = 42) -> DataFrame:
+                    seed: int = 42, num_blocks: int = 10) -> DataFrame:
     """Train and store the models of a batch of parsed uploads (M2, M3, S11).
 
     An upload without a name gets a generated 32-character name (M8); for a
     named model the latest accepted upload (``order_col`` orders uploads)
-    wins and is a full retrain on that upload alone. Models up to
-    ``max_group_rows`` ratings are fit side by side, one task each; larger
-    ones are fit one by one with Spark's distributed ALS. All models are then
+    wins and is a full retrain on that upload alone. All models of equal
+    parameters are fit together by Spark's distributed ALS
+    (:func:`vecfactor.operators.factors.train_many`), whatever their size, and
     saved in one batch. Returns ``upload_id, model_name, version`` of the
     uploads that produced a model, so a caller learns generated names.
     """
@@ -255,16 +258,6 @@ def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "uplo
     chosen = acc.join(winners, ["model_name", order_col], "left_semi").checkpoint(eager=True)
     params = chosen.select("model_name", "rank", "iterations", "reg", "n_ratings")
     ratings = flatten_ratings(chosen).join(params.drop("n_ratings"), "model_name")
-    small, large = MF.split_by_size(ratings, max_group_rows)
-    factors = MF.train_many(small, seed)
-    big_names = [r["model_name"] for r in large.select("model_name").distinct().collect()]
-    for name in big_names:  # a loop over names only, never over ratings
-        part = large.where(F.col("model_name") == name)
-        p = part.select("rank", "iterations", "reg").first()
-        model = MF.train(part, p["rank"], p["iterations"], p["reg"], seed=seed)
-        f = (MF.user_factors(model).select(F.lit(name).alias("model_name"), F.lit("user").alias("kind"), "id", "features")
-             .unionByName(MF.item_factors(model).select(F.lit(name).alias("model_name"), F.lit("item").alias("kind"),
-                                                        "id", "features")))
-        factors = factors.unionByName(f)
+    factors = MF.train_many(ratings, seed, num_blocks)
     saved = store.save(factors, params)
     return chosen.select("upload_id", "model_name").join(saved, "model_name")
