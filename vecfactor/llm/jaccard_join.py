@@ -53,6 +53,7 @@ from vecfactor.llm.lm_bloom import _M1, U64, WordHash, _mix
 SKETCH_BITS = 22       # buckets of the shingle counts: 2 ** 22 counters of 4 bytes, fixed
 COLUMN_BLOCKS = 64     # blocks of columns for the overlap bound
 TILE = 256             # documents per tile in round two
+BUNDLE_ROWS = 2048     # rows of round two handed to Python at once, on average
 BROADCAST_IDS = 1_000_000  # ids broadcast at most (8 bytes each)
 
 
@@ -307,52 +308,66 @@ def open_pairs(lists: DataFrame, lab: DataFrame, prof: DataFrame, spec: JoinSpec
     state = (c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"),
                                   F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig"))
              .where("lo < hi"))
-    once = state.groupBy("m", "sig", "lo", "hi").agg(F.min("key").alias("key")).select(
-        "key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    mem = c.join(once, "key")
+    once = materialise(state.groupBy("m", "sig", "lo", "hi").agg(F.min("key").alias("key")).select(
+        "key", "m", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    rows = once.agg(F.sum(F.col("m") * F.col("tiles"))).first()[0] or 0
+    mem = c.join(once.select("key", "tiles"), "key")
     # a document's open row lists: a pair is formed in the first list that both have
     own_lists = mem.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     mem = (mem.join(own_lists.join(prof, "doc_id"), "doc_id")
            .withColumn("tile", F.pmod(F.xxhash64("doc_id", "key"), F.col("tiles")).cast("int")))
-    # a tile meets every tile: one group per unordered pair of tiles
+    # a tile meets every tile: one unit per unordered pair of tiles
     mem = mem.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     mem = mem.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"),
                      F.col("tile").alias("own"), "doc_id", "c", "n", "blocks", "keys")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["own"].to_numpy()
-        li = np.flatnonzero(own == pdf["t1"].iloc[0])
-        ri = np.flatnonzero(own == pdf["t2"].iloc[0])
-        ids, comp, n = pdf["doc_id"].to_numpy(), pdf["c"].to_numpy(), pdf["n"].to_numpy()
+    # most units are small: about BUNDLE_ROWS rows of them are handed to Python at once
+    bundles = max(1, -(-rows // BUNDLE_ROWS))
+    mem = mem.withColumn("bundle", F.pmod(F.xxhash64("key", "t1", "t2"), F.lit(bundles)))
+    return mem.groupBy("bundle").applyInArrow(lambda t: _unit_pairs(t, spec), "a long, b long").distinct()
+
+
+def _unit_pairs(t: pa.Table, spec: JoinSpec) -> pa.Table:
+    """The pairs (a, b) of a bundle of units (key, t1, t2) that pass the bounds."""
+    key, t1, t2, own, ids, comp, n = (t.column(x).to_numpy() for x in ("key", "t1", "t2", "own", "doc_id", "c", "n"))
+    blocks = _blocks(t.column("blocks").to_pylist())
+    lists = t.column("keys").combine_chunks()
+    vals = lists.flatten().to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    order = np.lexsort((t2, t1, key))
+    k, x, y = key[order], t1[order], t2[order]
+    starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    left, right = [], []
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        unit = order[lo:hi]
+        li, ri = unit[own[unit] == x[lo]], unit[own[unit] == y[lo]]
         ok = comp[li][:, None] != comp[ri][None, :]
-        if pdf["t1"].iloc[0] == pdf["t2"].iloc[0]:
+        if x[lo] == y[lo]:
             ok &= ids[li][:, None] < ids[ri][None, :]
         nl, nr = n[li][:, None], n[ri][None, :]
         ok &= (nr * spec.den >= nl * spec.num) & (nl * spec.den >= nr * spec.num)
         if ok.any():
-            ok &= ~_earlier_list(pdf["keys"], int(pdf["key"].iloc[0]), li, ri)
+            def before(rows):
+                own_keys = [vals[ends[r - 1] if r else 0:ends[r]] for r in rows]
+                return [a[:np.searchsorted(a, k[lo])] for a in own_keys]
+            ok &= ~_share(before(li), before(ri))
         i, j = np.nonzero(ok)
-        a, b = li[i], ri[j]
-        blocks, keep = _blocks(pdf["blocks"]), []
-        for lo in range(0, len(a), 1 << 15):
-            x, y = a[lo:lo + (1 << 15)], b[lo:lo + (1 << 15)]
-            keep.append(_may_link(spec, n[x], n[y], blocks[x], blocks[y]))
-        if keep:
-            good = np.concatenate(keep)
-            a, b = a[good], b[good]
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-    return mem.groupBy("key", "t1", "t2").applyInPandas(run, "a long, b long").distinct()
-
-
-def _earlier_list(keys, key: int, li: np.ndarray, ri: np.ndarray) -> np.ndarray:
-    """Whether documents li x ri share a row list before ``key``: a product of two
-    small incidence matrices."""
-    lists = [np.asarray(k) for k in keys]
-    lists = [k[k < key] for k in lists]
-    cols, at = np.unique(np.concatenate(lists), return_inverse=True)
-    m = np.zeros((len(lists), len(cols)), np.float32)
-    m[np.repeat(np.arange(len(lists)), [len(k) for k in lists]), at] = 1.0
-    return (m[li] @ m[ri].T) > 0
+        left.append(li[i])
+        right.append(ri[j])
+    a, b = np.concatenate(left), np.concatenate(right)
+    good = [_may_link(spec, n[u], n[v], blocks[u], blocks[v])
+            for u, v in ((a[s:s + (1 << 15)], b[s:s + (1 << 15)]) for s in range(0, len(a), 1 << 15))]
+    if good:
+        keep = np.concatenate(good)
+        a, b = a[keep], b[keep]
+    return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+
+def _share(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether left x right share a row list: a product of two small incidence matrices."""
+    cols, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    m = np.zeros((len(left) + len(right), len(cols)), np.float32)
+    m[np.repeat(np.arange(len(m)), [len(a) for a in left + right]), at] = 1.0
+    return (m[:len(left)] @ m[len(left):].T) > 0
 
 
 # ----------------------------------------------------------------- the join
