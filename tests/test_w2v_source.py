@@ -90,3 +90,41 @@ def test_import_keeps_first_of_repeated_words(spark, tmpdir_shared):
     v = {r["word"]: (r["word_idx"], r["vec"]) for r in
          import_vectors(spark, p, os.path.join(tmpdir_shared, "dup_parquet")).collect()}
     assert v == {"a": (0, [1.0]), "b": (1, [2.0])}
+
+
+def _save(spark, rows, out, mode):
+    from vecfactor.sources.w2v import register
+    register(spark)
+    df = spark.createDataFrame(rows, "word string, vec array<float>")
+    df.coalesce(1).write.format("word2vec_bin").mode(mode).option("path", out).save()
+
+
+def _words(spark, out):
+    return [r["word"] for r in sorted(read_vectors(spark, out).collect(), key=lambda r: r["word_idx"])]
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_append_overwrite_and_refused_words(spark, tmpdir_shared, scheme):
+    out = scheme + os.path.join(tmpdir_shared, "modes" + scheme[:4])
+    _save(spark, [("a", [1.0]), ("b", [2.0])], out, "append")
+    _save(spark, [("c", [3.0])], out, "append")
+    assert _words(spark, out) == ["a", "b", "c"]
+    for bad in ("x\ny", "x y", None):
+        with pytest.raises(Exception):
+            _save(spark, [("d", [1.0]), (bad, [1.0])], out, "append")
+    with pytest.raises(Exception):
+        _save(spark, [("d", [1.0]), ("e", [1.0, 2.0])], out, "append")
+    folder = out[len(scheme):]
+    assert _words(spark, out) == ["a", "b", "c"] and not [n for n in os.listdir(folder) if n.startswith("_")]
+    _save(spark, [("z", [9.0])], out, "overwrite")
+    assert _words(spark, out) == ["z"] and len(os.listdir(folder)) == 1
+
+
+def test_files_of_bounded_size(spark, tmpdir_shared):
+    from vecfactor.sources.w2v import register
+    register(spark)
+    out = os.path.join(tmpdir_shared, "bounded")
+    rows = [(f"w{i:03d}", [float(i), 0.5]) for i in range(100)]
+    spark.createDataFrame(rows, "word string, vec array<float>").coalesce(1).write.format("word2vec_bin") \
+        .mode("append").option("path", out).option("fileBytes", "130").save()
+    assert len(os.listdir(out)) == 10 and _words(spark, out) == [w for w, _ in rows]

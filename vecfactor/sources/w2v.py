@@ -20,7 +20,10 @@ Local paths are memory-mapped; URIs (``file://``, ``hdfs://``, ``s3://``,
 whatever pyarrow's file systems reach) are read through a sliding window of
 ``windowBytes``, so the same reader works on shared cluster storage.
 
-Writing: each task writes one ``part-NNNNN.bin`` file with its own header.
+Writing: each task writes files of at most about ``fileBytes`` with their own
+headers. They appear under their final names when the whole save commits; names
+of a later save sort after those of earlier ones; overwrite removes the earlier
+files. Words with a space or a newline are refused.
 """
 
 from __future__ import annotations
@@ -28,15 +31,16 @@ from __future__ import annotations
 import mmap
 import os
 import re
+import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
 SCHEMA = "word string, word_idx long, vec array<float>"
 _HEADER = re.compile(rb"\s*(\d+)\s+(\d+)")
-_HEADER_WIDTH = 20  # writer pads header numbers so it can fill them in after the records
 
 
 class VectorFileError(ValueError):
@@ -66,11 +70,11 @@ def _files(path: str) -> list[str]:
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(path)
         if info.type == pafs.FileType.Directory:
-            scheme = path.split("://", 1)[0]
+            prefix = path[:path.rfind(p.rstrip("/"))]  # scheme and host
             names = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(p))
                            if i.type == pafs.FileType.File
                            and not os.path.basename(i.path).startswith((".", "_")))
-            return [f"{scheme}://{n}" for n in names]
+            return [prefix + n for n in names]
         return [path]
     if os.path.isdir(path):
         names = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
@@ -210,71 +214,99 @@ class _Reader(DataSourceReader):
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, path: str, n: int):
-        self.path, self.n = path, n
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files  # (hidden name, final name)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
+    """Tasks write files under hidden names of their own; the driver's commit
+    publishes those of the successful attempts, so a retry adds nothing twice."""
+
     def __init__(self, options, overwrite: bool):
         self.path = _norm(options.get("path"))
         self.overwrite = overwrite
+        self.file_bytes = int(options.get("fileBytes", str(64 * 1024 * 1024)))
+        # names sort after those of earlier saves, so appended records follow
+        self.save = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    @staticmethod
-    def _records(rows):
-        """(dim, record bytes) per row, with the file-format checks."""
-        dim = None
-        for r in rows:
-            vec = np.asarray(r["vec"], dtype="<f4")
-            if dim is None:
-                dim = len(vec)
-            elif len(vec) != dim:
-                raise VectorFileError(f"vector of length {len(vec)} in a file of dimension {dim}")
-            word = r["word"].encode("utf-8")
-            if b" " in word:
-                raise VectorFileError(f"word with a space: {r['word']!r}")
-            yield dim, word + b" " + vec.tobytes()
+    def _target(self):
+        import pyarrow.fs as pafs
+        fs, p = _fs(self.path) if _is_uri(self.path) else (pafs.LocalFileSystem(), self.path)
+        return fs, p.rstrip("/")
 
     @staticmethod
-    def _header(n: int, dim: int | None) -> bytes:
-        return f"{n:>{_HEADER_WIDTH}d} {dim or 0:>{_HEADER_WIDTH}d}\n".encode()
-
-    def write(self, rows):
+    def _records(batch: pa.RecordBatch, dim: int | None):
+        """(dim, records as bytes) of a batch, with the file-format checks."""
+        vec = batch.column(batch.schema.get_field_index("vec"))
+        lengths = set(vec.value_lengths().to_pylist()) | ({dim} if dim is not None else set())
+        if len(lengths) != 1 or None in lengths:
+            raise VectorFileError(f"vectors of different lengths in one file: {sorted(map(str, lengths))}")
+        dim = lengths.pop()
+        vals = vec.flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dim)
+        records = []
+        for word, row in zip(batch.column(batch.schema.get_field_index("word")).to_pylist(), vals):
+            if word is None or " " in word or "\n" in word:
+                raise VectorFileError(f"not a word of a vector file: {word!r}")
+            records.append(word.encode("utf-8") + b" " + row.tobytes())
+        return dim, records
+
+    def write(self, batches):
         from pyspark import TaskContext
         ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        name = f"part-{pid:05d}.bin"
-        n, dim = 0, None
-        if _is_uri(self.path):
-            # object stores cannot seek back to the header: the task's records
-            # are held until the count is known (a task holds one file range)
-            fs, p = _fs(self.path)
-            fs.create_dir(p, recursive=True)
-            recs = []
-            for dim, rec in self._records(rows):
-                recs.append(rec)
-            n = len(recs)
-            fp = f"{self.path.rstrip('/')}/{name}"
-            with fs.open_output_stream(f"{p.rstrip('/')}/{name}") as f:
-                f.write(self._header(n, dim))
-                for rec in recs:
-                    f.write(rec)
-            return _Commit(fp, n)
-        os.makedirs(self.path, exist_ok=True)
-        fp = os.path.join(self.path, name)
-        with open(fp, "wb") as f:
-            f.write(b" " * (2 * _HEADER_WIDTH + 2))
-            for dim, rec in self._records(rows):
-                f.write(rec)
-                n += 1
-            f.seek(0)
-            f.write(self._header(n, dim))
-        return _Commit(fp, n)
+        pid, attempt = ctx.partitionId() if ctx else 0, uuid.uuid4().hex[:8]
+        fs, folder = self._target()
+        fs.create_dir(folder, recursive=True)
+        files, held, size, dim = [], [], 0, None
+
+        def flush():
+            # the header comes first and needs the count: a file is held in memory, and is of bounded size
+            name = f"part-{self.save}-{pid:05d}-{len(files):05d}.bin"
+            hidden = f"_{attempt}-{name}"
+            with fs.open_output_stream(f"{folder}/{hidden}") as f:
+                f.write(f"{len(held)} {dim}\n".encode())
+                for record in held:
+                    f.write(record)
+            files.append((hidden, name))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dim, records = self._records(batch, dim)
+            for record in records:
+                held.append(record)
+                size += len(record)
+                if size >= self.file_bytes:
+                    flush()
+                    held, size = [], 0
+        if held:
+            flush()
+        return _Commit(files)
+
+    @staticmethod
+    def _names(fs, folder: str) -> list[str]:
+        import pyarrow.fs as pafs
+        return [os.path.basename(i.path) for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+                if i.type == pafs.FileType.File]
 
     def commit(self, messages):
-        pass
+        fs, folder = self._target()
+        fs.create_dir(folder, recursive=True)
+        old = [n for n in self._names(fs, folder) if not n.startswith((".", "_"))]
+        for m in messages:
+            for hidden, name in m.files if m else []:
+                fs.move(f"{folder}/{hidden}", f"{folder}/{name}")
+        if self.overwrite:
+            for n in old:
+                fs.delete_file(f"{folder}/{n}")
+        self._clean(fs, folder)
 
     def abort(self, messages):
-        pass
+        self._clean(*self._target())
+
+    def _clean(self, fs, folder: str):
+        """Remove the hidden files of this save (failed or doubled attempts)."""
+        for n in self._names(fs, folder):
+            if n.startswith("_") and self.save in n:
+                fs.delete_file(f"{folder}/{n}")
 
 
 class Word2VecBinary(DataSource):
