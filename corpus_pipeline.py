@@ -25,7 +25,9 @@ MIN_QUALITY = 0.7
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the rule ensemble scores at least ``MIN_QUALITY``."""
     model = rule_ensemble.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return rule_ensemble.with_score(docs, model).where(F.col("score") >= MIN_QUALITY).select("_row.*")
+    # a generator, not a filter: a filter on the score is pushed down and inlines all features into every rule
+    kept = F.explode(F.when(F.col("score") >= MIN_QUALITY, F.array("_row")))
+    return rule_ensemble.with_score(docs, model).select(kept.alias("_row")).select("_row.*")
 
 
 def quality_rule_cascade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
