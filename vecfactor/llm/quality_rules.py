@@ -132,9 +132,9 @@ def plan_cascade(df: DataFrame, rules: list[Rule], text_col: str = "text",
 def cascade_filter(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the input's columns."""
     cur = with_row(df, _t=text_or_empty(text_col)).withColumn("_w", words(F.col("_t")))
-    for rule in rules:
-        cur = rule.prepare(cur).where(~F.coalesce(rule.fails(), F.lit(False)))
-    return cur.select("_row.*")
+    # a generator, not filters: filters are pushed down and inline the statistics
+    kept = F.explode(F.when(F.col("_kept"), F.array("_row")))
+    return cascade_verdict(cur, rules, "_kept").select(kept.alias("_row")).select("_row.*")
 
 
 def cascade_verdict(df: DataFrame, rules: list[Rule], out: str = "kept") -> DataFrame:
