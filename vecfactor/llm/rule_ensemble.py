@@ -29,6 +29,8 @@ from vecfactor.llm import text_stats as S
 from vecfactor.llm.common import crc32_text, materialise, text_or_empty, with_row
 from vecfactor.session import shared_path
 
+TRAIN_PARTITIONS = 8  # the training rows are bounded, however many partitions the documents have
+
 FEATURES = ["log_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio",
             "digit_ratio"]
 
@@ -136,7 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
 
 def fit_rules(train: DataFrame, trees: int = 10, depth: int = 4, reg: float = 0.0003, seed: int = 11) -> RuleModel:
     """``train``: text, label."""
-    feats = materialise(add_features(train.select("text", "label")).select(*FEATURES, "label"))
+    feats = materialise(add_features(train.select("text", "label")).select(*FEATURES, "label")
+                        .repartition(TRAIN_PARTITIONS))
     seen = {r["label"]: r["n"] for r in feats.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(seen.values())
     if len(seen) < 2:
