@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     comp = jaccard_join.similar_components(docs, jaccard_join.PIPELINE)
     keep = materialise(comp.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull())
                        .select("doc_id").distinct())
-    repeats = comp.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    repeats = not comp.groupBy("doc_id").count().where("count > 1").isEmpty()
     out = docs.join(keep, "doc_id", "left_semi")
     if repeats:
         out = out.dropDuplicates(["doc_id"])

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from vecfactor.llm.common import materialise
 from vecfactor.llm.lm_bloom import _M1, U64, WordHash, _mix
 
-SKETCH_BITS = 22       # buckets of the shingle counts: 2 ** 22 counters of 4 bytes, fixed
+SKETCH_BITS = 22       # buckets of the shingle counts: 2 ** 22 counters, broadcast as one byte each, fixed
 COLUMN_BLOCKS = 64     # blocks of columns for the overlap bound
 TILE = 256             # documents per tile in round two
 BUNDLE_ROWS = 2048     # rows of round two handed to Python at once, on average
@@ -153,13 +153,24 @@ def count_sketch(texts: DataFrame, k: int, chunks: int = 256, fan_in: int = 256)
 
     parts = texts.mapInArrow(count, "chunk int, c binary").withColumn(
         "g", F.floor(F.spark_partition_id() / fan_in))
+    def rarity(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = add(pdf)
+        out["c"] = [byte_counts(np.frombuffer(x, np.int32)).tobytes() for x in out["c"]]
+        return out
+
     level1 = parts.groupBy("chunk", "g").applyInPandas(add, "chunk int, c binary")
-    total = np.zeros(1 << SKETCH_BITS, np.int32)
-    for r in level1.groupBy("chunk").applyInPandas(add, "chunk int, c binary").collect():  # the fixed table
-        total[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(r["c"], np.int32)
+    total = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in level1.groupBy("chunk").applyInPandas(rarity, "chunk int, c binary").collect():  # the fixed table
+        total[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(r["c"], np.uint8)
     return total
 
 
+def byte_counts(c: np.ndarray) -> np.ndarray:
+    """Counts in one byte, in order: exact below 128, then five steps a doubling."""
+    steps = 128 + (5 * np.log2(np.maximum(c, 128) / 128)).astype(np.int64)
+    return np.where(c < 128, c, steps).astype(np.uint8)
+
+
 # ----------------------------------------------------------------- candidates
 
 def block_counts(s: np.ndarray) -> np.ndarray:
@@ -281,16 +292,16 @@ def components(edges: DataFrame) -> DataFrame:
             nxt = to.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
             twice = materialise(to.join(nxt, to["p"] == nxt["_v"]).select("v", F.col("p").alias("old"),
                                                                          F.col("_p").alias("p")))
-            moved = twice.where("p != old").limit(1).count()
+            done = twice.where("p != old").isEmpty()
             to = twice.select("v", "p")
-            if not moved:
+            if done:
                 break
         root = to.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
         lab = materialise(lab.join(root, lab["c"] == root["_v"], "left").select("v", F.coalesce("_p", "c").alias("c")))
         half = e.join(root, e["a"] == root["_v"]).select(F.col("_p").alias("a"), "b")
         e = materialise(half.join(root, half["b"] == root["_v"]).select("a", F.col("_p").alias("b"))
                         .where("a != b").distinct())
-        if not e.limit(1).count():
+        if e.isEmpty():
             return lab
 
 
@@ -394,9 +405,9 @@ def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id",
     links = materialise(links)
     lab = components(links)
     second = materialise(open_pairs(lists, lab, prof, spec))
-    if second.limit(1).count():
+    if not second.isEmpty():
         more = materialise(verified(second, texts_of(d, second, repeats), spec))
-        if more.limit(1).count():
+        if not more.isEmpty():
             lab = components(links.unionByName(more))
     cls = reps.join(lab, reps["doc_id"] == lab["v"], "left").select(
         "n", "d1", "d2", F.coalesce("c", "doc_id").alias("component_id"))
@@ -416,7 +427,7 @@ def _same_id(sigs: DataFrame, named: DataFrame) -> DataFrame:
 
 def _repeats(digests: DataFrame) -> bool:
     """Whether some id occurs in more than one row."""
-    return digests.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return not digests.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 CONTRACT = JoinSpec(k=3, num=90, den=100)
