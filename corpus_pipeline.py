@@ -7,7 +7,8 @@ columns of ``documents``.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators'
 docstrings state: a null or empty text scores as the classifier's empty text and
-is rejected by the length rule; of repeated rows one stays.
+is rejected by the length rule; of repeated rows one stays; a null id makes no
+row less than a document.
 """
 
 from __future__ import annotations
@@ -37,15 +38,16 @@ def quality_rule_cascade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of five-word shingle similarity 0.8 or more:
-    the one with the smallest id (of repeated rows of that id, one)."""
-    comp = jaccard_join.similar_components(docs, jaccard_join.PIPELINE)
-    keep = materialise(comp.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull())
-                       .select("doc_id").distinct())
+    the one with the smallest id (of repeated rows of that id, one). Each row with a
+    null id is a document of its own: of a group without any id one row stays."""
+    rows, own = jaccard_join.numbered(docs)
+    comp = jaccard_join.linked_rows(rows.select("doc_id", "_row.text"), own, jaccard_join.PIPELINE)
+    keep = materialise(comp.where("doc_id = head").select("doc_id").distinct())
     repeats = not comp.groupBy("doc_id").count().where("count > 1").isEmpty()
-    out = docs.join(keep, "doc_id", "left_semi")
+    out = rows.join(keep, "doc_id", "left_semi")
     if repeats:
         out = out.dropDuplicates(["doc_id"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

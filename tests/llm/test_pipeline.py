@@ -58,3 +58,23 @@ def test_stages_on_edges(spark, make_docs):
     one = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()
     ids = [r["doc_id"] for r in one]
     assert len(ids) == len(set(ids)) and 7 in ids and 8 not in ids and 9 in ids
+
+
+def test_rows_without_id_are_documents(spark, make_docs):
+    def text(tag, n=60):
+        return " ".join(f"{tag}{i}" for i in range(n))
+    rows = EDGE + [(None, text("a")), (None, text("a")), (None, text("a") + " more"),    # a group without any id
+                   (20, text("b")), (None, text("b")), (None, text("b") + " more"),      # named by 20
+                   (30, text("c")), (None, text("c") + " x"), (31, text("c") + " x y"),
+                   (2**63 - 1, text("d")), (-2**63, text("e")), (None, text("f")), (None, ""), (None, None)]
+    docs = make_docs(rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    free = Counter((t or "").split(" ")[0] for d, t in got if d is None)
+    assert free == {"no": 1, "a0": 1, "f0": 1, "": 2}  # texts without words are groups of their own
+    assert sorted(d for d, _ in got if d is not None) == sorted(
+        {d for d, _ in rows if d is not None} - {8, 31})
+    comp = jaccard_join.similar_components(docs, jaccard_join.PIPELINE).collect()
+    assert len(comp) == len(rows)
+    assert Counter(r["component_id"] for r in comp if r["doc_id"] is None) == {None: 7, 20: 2, 30: 1}

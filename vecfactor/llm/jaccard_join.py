@@ -31,9 +31,10 @@ rounding. Steps:
 
 Documents without words (or null text) have an empty set and link with nothing;
 fewer words than the shingle length make one shingle of all of them; rows
-that share an id are one document, linked through any of their texts; a null id
-joins groups but never names one. An empty table gives
-an empty result.
+that share an id are one document, linked through any of their texts; a row with a
+null id is a document of its own, which joins groups like any other but never
+names one (a group without ids has a null component). An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecfactor.llm.common import materialise
@@ -383,25 +384,68 @@ def _share(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 # ----------------------------------------------------------------- the join
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, tuple[int, int] | None]:
+    """(doc_id, _row) for every input row, ``_row`` the row itself, and the range of
+    the numbers given to rows with a null id (None without such rows).
+
+    Only the rows without id are written, each with a number of its own from a
+    range that no id touches; all other rows are named by their id."""
+    one = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), one)
+    own = materialise(rows.where("doc_id is null").select(F.monotonically_increasing_id().alias("at"), "_row"))
+    last = own.agg(F.max("at")).first()[0]
+    if last is None:
+        return rows, None
+    ids = rows.where("doc_id is not null")
+    low = _free_range(ids.select("doc_id"), last + 1)
+    return ids.unionByName(own.select((F.col("at") + low).alias("doc_id"), "_row")), (low, low + last)
+
+
+def _free_range(ids: DataFrame, size: int) -> int:
+    """The first of ``size`` numbers that are no id: the last free neighbour of the
+    aligned ranges that hold ids."""
+    bits = max(1, size.bit_length())
+    top = 1 << (63 - bits)
+    held = ids.select(F.shiftright("doc_id", bits).alias("r")).distinct()
+    free = (held.select(F.explode(F.array(F.col("r") - 1, F.col("r") + 1)).alias("r"))
+            .where(F.col("r").between(-top, top - 1)).join(held, "r", "left_anti").agg(F.max("r")).first()[0])
+    return (free or 0) << bits
+
+
+def given(col: str, own: tuple[int, int]) -> Column:
+    """Whether a number is one that ``numbered`` gave to a row without id."""
+    return F.col(col).between(*own)
+
+
 def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id
     reachable over links, itself included)."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, own = numbered(docs.select(id_col, text_col), id_col)
+    out = linked_rows(rows.select("doc_id", F.col("_row")[text_col].alias("text")), own, spec)
+    if own is None:
+        return out.withColumnRenamed("head", "component_id")
+    return out.select(F.when(~given("doc_id", own), F.col("doc_id")).alias("doc_id"), "n_shingles",
+                      F.when(~given("head", own), F.col("head")).alias("component_id"))
+
+
+def linked_rows(d: DataFrame, own: tuple[int, int] | None, spec: JoinSpec) -> DataFrame:
+    """One row per row of ``d`` (doc_id, text; numbers of the range ``own`` stand for rows
+    without id): doc_id, n_shingles and the component's ``head``, its smallest id or,
+    in a component without ids, its smallest number."""
+    spark = d.sparkSession
     sketch = spark.sparkContext.broadcast(count_sketch(d.select("text"), spec.k))
     sigs = materialise(signatures(d, spec, sketch))
     repeats = _repeats(sigs)
-    # a class is named by its smallest id; classes without any id have no name and no links
+    # a class is named by its smallest id or number
     reps = materialise(sigs.where("n > 0").groupBy("n", "d1", "d2").agg(
         F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"),
         F.min_by("blocks", "doc_id").alias("blocks")))
-    named = reps.where("doc_id is not null")
-    lists, pairs = star_pairs(prefix_rows(named))
-    prof = named.select("doc_id", "n", "blocks")
+    lists, pairs = star_pairs(prefix_rows(reps))
+    prof = reps.select("doc_id", "n", "blocks")
     first = materialise(bounded_pairs(pairs, prof, spec))
     links = verified(first, texts_of(d, first, repeats), spec)
     if repeats:
-        links = links.unionByName(_same_id(sigs, named))
+        links = links.unionByName(_same_id(sigs, reps))
     links = materialise(links)
     lab = components(links)
     second = materialise(open_pairs(lists, lab, prof, spec))
@@ -412,14 +456,20 @@ def similar_components(docs: DataFrame, spec: JoinSpec, id_col: str = "doc_id",
     cls = reps.join(lab, reps["doc_id"] == lab["v"], "left").select(
         "n", "d1", "d2", F.coalesce("c", "doc_id").alias("component_id"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(cls, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"),
+                     F.coalesce("component_id", "doc_id").alias("head"))
+    if own is None:
+        return out
+    # numbers may lie below ids: a component named by one gets its smallest id, if it has any
+    names = (out.where(given("head", own)).groupBy("head")
+             .agg(F.min(F.when(~given("doc_id", own), F.col("doc_id"))).alias("name")).where("name is not null"))
+    return out.join(names, "head", "left").select("doc_id", "n_shingles", F.coalesce("name", "head").alias("head"))
 
 
-def _same_id(sigs: DataFrame, named: DataFrame) -> DataFrame:
+def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (representative, id) for the ids whose rows lie in several classes."""
-    own = (sigs.where("doc_id is not null").select("doc_id", "n", "d1", "d2")
-           .join(named.select("n", "d1", "d2", F.col("doc_id").alias("rep")), ["n", "d1", "d2"])
+    own = (sigs.select("doc_id", "n", "d1", "d2")
+           .join(reps.select("n", "d1", "d2", F.col("doc_id").alias("rep")), ["n", "d1", "d2"])
            .select("doc_id", "rep").distinct())
     several = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     return own.join(several, "doc_id").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
