@@ -262,3 +262,22 @@ def test_search_edges(make_docs):
     df = make_docs([(d, t) for d, t in EDGE if d is not None])
     assert bm25_search.search_documents(df, every=2).where("rank > 10").count() == 0
     assert bm25_search.search_documents(make_docs([])).count() == 0
+
+
+def test_repeated_query_ids(spark, make_docs):
+    rows = [(100 + i, f"alpha beta w{i} " + "alpha " * (i % 5)) for i in range(30)]
+    rows += [(50, "alpha beta")] * 3 + [(7, "gamma delta"), (8, "gamma")]
+    docs = make_docs(rows).select("doc_id", "text")
+    hits = bm25_search.search_documents(docs, every=50, k=10).where("query_id = 50").collect()
+    assert sorted(r["rank"] for r in hits) == list(range(1, 11))
+    want = brute_bm25(rows, [(50, "alpha beta")], 10)[50]
+    assert np.allclose([r["score"] for r in sorted(hits, key=lambda r: r["rank"])], [s for _, s in want], atol=2e-6)
+    assert sum(r["doc_id"] == 50 for r in hits) == sum(d == 50 for d, _ in want)
+    # different words under one id, and a null id
+    queries = [(1, "alpha beta"), (1, "delta gamma"), (1, "gamma  DELTA"), (None, "gamma")]
+    qdf = spark.createDataFrame(queries, "query_id long, text string")
+    for kwargs in ({}, {"query_block": 1}):
+        got = bm25_search.top_k(docs, qdf, k=4, **kwargs).collect()
+        one = [(r["rank"], r["doc_id"]) for r in got if r["query_id"] == 1]
+        assert sorted(k for k, _ in one) == [1, 1, 2, 2, 3, 4] and {(1, 7), (2, 8)} <= set(one)
+        assert sorted((r["rank"], r["doc_id"]) for r in got if r["query_id"] is None) == [(1, 8), (2, 7)]
