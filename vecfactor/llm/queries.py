@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfactor.llm import (bm25_search, chat, jaccard_join, lm_bloom, mixing, packing, quality_rules, rule_ensemble,
-                           sharding, toxicity)
+from vecfactor.llm import (bm25_search, chat, jaccard_join, line_dedup, lm_bloom, mixing, packing, quality_rules,
+                           rule_ensemble, sharding, toxicity)
 from vecfactor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,24 @@ def op9(spark, sf_dir):
 @register("op10_ring_shards")
 def op10(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents),
+l AS (SELECT rid, unnest(range(len(ln))) AS pos, unnest(ln) AS line FROM d),
+k AS (SELECT rid, pos, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''),
+    '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+r AS (SELECT rid, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '') AS kept
+  FROM k LEFT JOIN f USING (key) GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM r JOIN d USING (rid)"""
+
+
+@register("op11_line_runs", LINE_SQL)
+def op11(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    runs = line_dedup.LineRuns(spark, min_docs=10, fanout=2)
+    for name, batch in line_dedup.batches_of(spark, path):
+        runs.add(batch, name)
+    return line_dedup.line_digest(line_dedup.drop_lines(spark.read.parquet(path), runs.settled()))
