@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecfactor.llm import (bm25_search, chat, jaccard_join, line_dedup, lm_bloom, mixing, packing, quality_rules,
-                           rule_ensemble, sharding, toxicity)
+from vecfactor.llm import (bm25_search, chat, jaccard_join, line_dedup, lm_bloom, mixing, packing, periodic_runs,
+                           quality_rules, rule_ensemble, sharding, toxicity)
 from vecfactor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op11(spark, sf_dir):
     for name, batch in line_dedup.batches_of(spark, path):
         runs.add(batch, name)
     return line_dedup.line_digest(line_dedup.drop_lines(spark.read.parquet(path), runs.settled()))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
