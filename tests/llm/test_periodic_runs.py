@@ -72,7 +72,8 @@ def _random_text(rng):
         if kind < 0.4:
             w += [rng.randrange(rng.choice([1, 2, 3, 50])) for _ in range(rng.randrange(40))]
         else:
-            unit = [rng.randrange(rng.choice([1, 2, 3, 50])) for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 16, 31, 40, 64]))]
+            size = rng.choice([1, 2, 3, 5, 8, 13, 16, 31, 40, 64])
+            unit = [rng.randrange(rng.choice([1, 2, 3, 50])) for _ in range(size)]
             w += unit * rng.randrange(1, 8) + unit[:rng.randrange(len(unit) + 1)]
     return w
 
@@ -109,7 +110,8 @@ def _rows():
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{x}" for x in _random_text(rng))) for i in range(120)]
     long = " ".join(["alpha beta gamma"] * 400 + [f"x{i}" for i in range(500)] + ["same"] * 900)
-    return rows + EDGE[:6] + EDGE[8:] + [(500, long), (500, long), (None, long), (None, "a\tb\nc\x0bd " * 9), (501, "Ü ü " * 20)]
+    rows += EDGE[:6] + EDGE[8:]
+    return rows + [(500, long), (500, long), (None, long), (None, "a\tb\nc\x0bd " * 9), (501, "Ü ü " * 20)]
 
 
 def test_report_against_brute_force(spark, make_docs):
@@ -126,7 +128,8 @@ def test_very_long_text_and_empty_table(spark, make_docs):
 
 
 def test_general_runs(spark):
-    docs = spark.createDataFrame([(0, None, "a b " * 20), (1, None, "p " + "q r s " * 9)], "rid long, doc_id long, text string")
+    docs = spark.createDataFrame([(0, None, "a b " * 20), (1, None, "p " + "q r s " * 9)],
+                                 "rid long, doc_id long, text string")
     assert sorted(tuple(r) for r in R.find_runs(docs).collect()) == [(0, 0, 40, 2), (1, 1, 27, 3)]
     assert [tuple(r) for r in R.find_runs(docs, min_length=30).collect()] == [(0, 0, 40, 2)]
     with pytest.raises(ValueError):

@@ -124,8 +124,9 @@ class LineRuns:
         """The run as a bucketed, sorted table."""
         table = f"line_run_{run['name']}"
         if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} ({KEY}, n LONG) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2)"
-                           f" INTO {self.buckets} BUCKETS LOCATION '{self.root}/runs/{run['name']}'")
+            self.spark.sql(f"CREATE TABLE {table} ({KEY}, n LONG) USING parquet"
+                           f" CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS"
+                           f" LOCATION '{self.root}/runs/{run['name']}'")
         return self.spark.table(table)
 
     def _write(self, keys: DataFrame, level: int | None) -> dict:

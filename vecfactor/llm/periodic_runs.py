@@ -111,7 +111,8 @@ def _hits(values: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray]]:
             found = np.zeros(count, bool)
             for off in (k, 0):                                  # words from b on; words before b
                 own = pad[off:off + count * size:size]
-                far = np.lib.stride_tricks.as_strided(pad[off + q0:], (count, size - q0), (size * 8, 8), writeable=False)
+                far = np.lib.stride_tricks.as_strided(pad[off + q0:], (count, size - q0), (size * 8, 8),
+                                                      writeable=False)
                 there = (at + off >= k) & (at + off < k + len(grams))
                 found |= (far == own[:, None]).any(axis=1) & there
             yield size, at[found]

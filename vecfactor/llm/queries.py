@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfactor.llm import (bm25_search, chat, jaccard_join, line_dedup, lm_bloom, mixing, packing, periodic_runs,
-                           quality_rules, rule_ensemble, sharding, toxicity)
+                           phrases, quality_rules, rule_ensemble, sharding, toxicity)
 from vecfactor.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,38 @@ def op11(spark, sf_dir):
 @register("op13_periodic_runs")
 def op13(spark, sf_dir):
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS pid, lang, w FROM (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+x AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM x),
+u AS (SELECT lang, w1 AS w, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM u GROUP BY lang),
+b AS (SELECT lang, w1, w2, count(*) AS a FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, w1, w2, w3, count(*) AS a FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+bs AS (SELECT b.lang, w1, w2, a, f.n AS l, s.n AS r, ((1000000::HUGEINT * a * a) // (f.n::HUGEINT * s.n)) AS score
+  FROM b JOIN u f ON f.lang = b.lang AND f.w = w1 JOIN u s ON s.lang = b.lang AND s.w = w2),
+cc AS (SELECT c.*, h.l AS l1, t.a AS r1, h.a AS l2, t.r AS r2,
+    (1000000::HUGEINT * c.a * c.a) // (h.l::HUGEINT * t.a) AS s1,
+    (1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * t.r) AS s2
+  FROM c JOIN bs h ON h.lang = c.lang AND h.w1 = c.w1 AND h.w2 = c.w2
+  JOIN bs t ON t.lang = c.lang AND t.w1 = c.w2 AND t.w2 = c.w3),
+ins AS (SELECT lang, w1, w2, max(a) AS longer FROM (
+  SELECT lang, w1, w2, a FROM c UNION ALL SELECT lang, w2, w3, a FROM c) GROUP BY ALL),
+al AS (SELECT bs.lang, w1 || ' ' || w2 AS phrase, a, l, r, score FROM bs LEFT JOIN ins USING (lang, w1, w2)
+    WHERE longer IS NULL OR 100 * longer < 50 * a
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END,
+    CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cc),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM al)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM k JOIN t USING (lang) WHERE rank <= 2000"""
+
+
+@register("op12_phrases", PHRASE_SQL)
+def op12(spark, sf_dir):
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
