@@ -87,5 +87,5 @@ def test_empty_table(spark):
 def test_long_text_is_cut_at_separators():
     text = ("word " * 1000 + ". ").encode() * (2 * P.SLICE // 5000)
     parts = list(P._cuts(text))
-    assert len(parts) > 1 and b"".join(parts) == text and all(p.rstrip(b" ").endswith(b".") for p in parts)
+    assert len(parts) > 1 and b"".join(parts) == text and all(p.endswith(b".") for p in parts[:-1])
     assert b"".join(P._cuts(b"a " * P.SLICE)) == b"a " * P.SLICE       # without a separator: one piece
