@@ -89,25 +89,6 @@ def test_names(spark):
     assert F is not None
 
 
-def test_train_many_small_models(spark):
-    r = _planted(spark, n_users=20, n_items=15, rank=2, seed=3)
-    rows = (r.select(F.lit("a").alias("model_name"), "user", "item", "rating")
-            .unionByName(r.where("user < 10").select(F.lit("b").alias("model_name"), "user", "item", "rating"))
-            .select("*", F.lit(2).alias("rank"), F.lit(15).alias("iterations"), F.lit(0.001).alias("reg")))
-    f = MF.train_many(rows)
-    assert {(r["model_name"], r["kind"]): r["n"] for r in
-            f.groupBy("model_name", "kind").agg(F.count("*").alias("n")).collect()} == {
-        ("a", "user"): 20, ("a", "item"): 15, ("b", "user"): 10, ("b", "item"): 15}
-    a = f.where("model_name = 'a'")
-    uf = a.where("kind = 'user'").select("id", "features")
-    itf = a.where("kind = 'item'").select("id", "features")
-    m = MF.mse(MF.score_pairs(r, uf, itf)).first()
-    assert m["mse"] < 1e-2
-    again = {(x["model_name"], x["kind"], x["id"]): x["features"] for x in MF.train_many(rows).collect()}
-    first = {(x["model_name"], x["kind"], x["id"]): x["features"] for x in f.collect()}
-    assert again == first                     # fixed seed: same factors
-
-
 def test_failed_save_leaves_no_trace(spark, tmpdir_shared):
     st = ModelStore(spark, tmpdir_shared + "/store3")
     f, m = _factors(spark, "gamma", 1.0)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecfactor.functions.vectors import dot
-from vecfactor.plans.ranking import global_row_number
 from vecfactor.plans.sizing import broadcast_limit, maybe_broadcast, vector_table_bytes
 
 DEFAULT_SEED = 42
@@ -67,12 +66,6 @@ def score_pairs(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame,
                     F.when(known, dot("uf", "itf")).alias("prediction"), known.alias("known"))
 
 
-def predict_pairs(pairs: DataFrame, user_f: DataFrame, item_f: DataFrame,
-                  broadcast: bool | None = None) -> DataFrame:
-    """Known pairs only: ``user, item, rating, prediction``."""
-    return score_pairs(pairs, user_f, item_f, broadcast).where("known").drop("known")
-
-
 def squared_errors(scored: DataFrame) -> DataFrame:
     return scored.where("known").select(
         "user", "item", ((F.col("rating") - F.col("prediction")) ** 2).alias("se"))
@@ -89,46 +82,3 @@ def mse(scored: DataFrame, strict: bool = False) -> DataFrame:
         if row["n_unknown"] > 0:
             raise ValueError(f"{row['n_unknown']} pairs have no factor in the model")
     return out
-
-
-# --------------------------------------------------------------------------- many models in one fit
-
-MAX_DENSE_ID = 2**31 - 1  # ALS takes 32-bit ids
-
-
-def _dense(ratings: DataFrame, side: str) -> DataFrame:
-    """``model_name, <side>, _<side>``: a dense id for every (model, user) or (model, item)."""
-    keys = ratings.select("model_name", side).distinct()
-    return global_row_number(keys, ["model_name", side], f"_{side}")
-
-
-def train_many(ratings: DataFrame, seed: int = DEFAULT_SEED, num_blocks: int = 10) -> DataFrame:
-    """Fit one model per ``model_name``: ``model_name, kind, id, features``.
-
-    ``ratings``: ``model_name, user, item, rating, rank, iterations, reg``. All
-    models of equal parameters are fit by one distributed ALS over dense
-    (model, user) and (model, item) ids. Models share no id and the
-    regularisation is per row, so each model's factors solve its own normal
-    equations; models of any size take the same path. One fit runs per distinct
-    (rank, iterations, reg).
-    """
-    ratings = ratings.checkpoint(eager=True)
-    out = None
-    for p in ratings.select("rank", "iterations", "reg").distinct().orderBy("rank", "iterations", "reg").collect():
-        part = ratings.where((F.col("rank") == p["rank"]) & (F.col("iterations") == p["iterations"])
-                             & (F.col("reg") == p["reg"]))
-        users, items = _dense(part, "user").checkpoint(eager=True), _dense(part, "item").checkpoint(eager=True)
-        top = max(users.agg(F.max("_user")).first()[0], items.agg(F.max("_item")).first()[0])
-        if top > MAX_DENSE_ID:
-            raise ValueError(f"{top + 1} users or items exceed the 32-bit ids of ALS; train fewer models per batch")
-        dense = (part.join(users, ["model_name", "user"]).join(items, ["model_name", "item"])
-                 .select(F.col("_user").cast("int").alias("user"), F.col("_item").cast("int").alias("item"), "rating"))
-        model = train(dense, p["rank"], p["iterations"], p["reg"], seed=seed, num_blocks=num_blocks)
-        for kind, keys, f in (("user", users, model.userFactors), ("item", items, model.itemFactors)):
-            rows = (keys.join(f, F.col(f"_{kind}") == F.col("id")).select(
-                "model_name", F.lit(kind).alias("kind"), F.col(kind).cast("int").alias("id"), "features"))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return ratings.sparkSession.createDataFrame(
-            [], "model_name string, kind string, id int, features array<float>")
-    return out

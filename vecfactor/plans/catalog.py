@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecfactor.functions import text as T
+from vecfactor.functions.vectors import dot
+from vecfactor.operators import batch_als
 from vecfactor.operators import centers as C
 from vecfactor.operators import factors as MF
 from vecfactor.operators.nearest import nearest_k_words, nearest_words
@@ -19,7 +21,7 @@ from vecfactor.plans import fixtures as FX
 from vecfactor.plans import oracle as O
 from vecfactor.session import shared_path
 from vecfactor.sources import payloads as P
-from vecfactor.sources.store import ModelStore
+from vecfactor.sources.store import ModelStore, train_and_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -316,6 +318,7 @@ def q_squared_errors(spark, sf_dir):
 # ----------------------------------------------------------------- M1, M2, M4: ALS
 
 ALS_RANK, ALS_ITERATIONS, ALS_REG = 8, 10, 0.1
+MAX_RESIDUAL = 1e-4  # of the normal equations, in units of their terms (factors are floats)
 
 
 def _als(spark, sf_dir):
@@ -335,12 +338,42 @@ def q_als_factors(spark, sf_dir):
     return u.unionByName(i)
 
 
-@register("als_mse")
+def _als_long(spark, sf_dir):
+    """The trained model once, as ``model_name, kind, id, features``."""
+    model = _als(spark, sf_dir)
+    return (MF.user_factors(model).select(F.lit("m").alias("model_name"), F.lit("user").alias("kind"), "id", "features")
+            .unionByName(MF.item_factors(model).select(F.lit("m").alias("model_name"), F.lit("item").alias("kind"),
+                                                       "id", "features"))).checkpoint(eager=True)
+
+
+@register("als_normal_eq", O.with_(O.RATINGS_CTE, """
+SELECT "user" AS id, count(*)::BIGINT AS n, true AS solved FROM ratings GROUP BY "user\""""))
+def q_als_normal_eq(spark, sf_dir):
+    """Trained values: every user's factors solve their normal equations (the side solved last)."""
+    r = FX.ratings(spark, sf_dir).withColumn("model_name", F.lit("m")).withColumn("reg", F.lit(ALS_REG))
+    res = batch_als.normal_residuals(r, _als_long(spark, sf_dir))
+    return res.select("id", "n", (F.col("residual") < MAX_RESIDUAL).alias("solved"))
+
+
+@register("als_mse", O.with_(O.RATINGS_CTE, """
+SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_unknown, true AS closed_form, true AS below_variance FROM ratings"""))
 def q_als_mse(spark, sf_dir):
+    """The trained model's MSE, held against the value that its normal equations imply:
+    ``sum (r - p)^2 = sum r^2 - sum r p - reg sum n |u|^2`` once every user is solved."""
     r = FX.ratings(spark, sf_dir)
-    model = _als(spark, sf_dir)
-    scored = MF.score_pairs(r, MF.user_factors(model), MF.item_factors(model))
-    return MF.mse(scored)
+    f = _als_long(spark, sf_dir)
+    uf, itf = (f.where(F.col("kind") == k).select("id", "features") for k in ("user", "item"))
+    scored = MF.score_pairs(r, uf, itf).checkpoint(eager=True)
+    norms = uf.select(F.col("id").alias("user"), dot("features", "features").alias("uu"))
+    sums = scored.join(norms, "user").agg(
+        F.count("prediction").alias("n"),
+        F.sum(F.col("rating") * F.col("rating")).alias("rr"), F.sum(F.col("rating") * F.col("prediction")).alias("rp"),
+        F.sum("uu").alias("nuu"), F.var_pop("rating").alias("variance"))
+    m = MF.mse(scored).join(sums, "n")       # one row each; both count the same pairs
+    implied = (F.col("rr") - F.col("rp") - ALS_REG * F.col("nuu")) / F.col("n")
+    return m.select("n", "n_unknown",
+                    (F.abs(F.col("mse") - implied) < 1e-4 * F.col("rr") / F.col("n")).alias("closed_form"),
+                    (F.col("mse") < F.col("variance")).alias("below_variance"))
 
 
 # ----------------------------------------------------------------- S6-S9, S11, M3, M7: model store
@@ -551,13 +584,28 @@ win AS (SELECT "user", max(upload_id) AS upload_id FROM up WHERE "user" % 7 IN (
 SELECT 'm' || w."user" AS model_name, 1::BIGINT AS version, 3 AS rank, u.n::BIGINT AS n_ratings
 FROM win w JOIN up u ON u.upload_id = w.upload_id"""))
 def q_uploads_models(spark, sf_dir):
-    from vecfactor.sources.store import train_and_store
     st = ModelStore(spark, shared_path(spark, "store"))
     parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir)).checkpoint(eager=True)
     train_and_store(st, parsed)
     return st.latest().select("model_name", "version", "rank", "n_ratings")
 
 
+@register("uploads_normal_eq", O.with_(_UPLOADS_SQL + """,
+win AS (SELECT "user", max(upload_id) AS upload_id FROM up WHERE "user" % 7 IN (0, 4) GROUP BY "user")""", """
+SELECT 'm' || w."user" AS model_name, 'user' AS kind, w."user" AS id, u.n::BIGINT AS n, true AS solved
+FROM win w JOIN up u ON u.upload_id = w.upload_id"""))
+def q_uploads_normal_eq(spark, sf_dir):
+    """Trained values of every stored model, read back from the store."""
+    st = ModelStore(spark, shared_path(spark, "store"))
+    parsed = P.parse_uploads(FX.rating_uploads(spark, sf_dir)).checkpoint(eager=True)
+    won = train_and_store(st, parsed).select("upload_id", "model_name")
+    r = P.flatten_ratings(parsed).drop("model_name").join(won, "upload_id").join(
+        parsed.select("upload_id", "reg"), "upload_id")
+    res = batch_als.normal_residuals(r, st.features())
+    return res.select("model_name", F.lit("user").alias("kind"), "id", "n",
+                      (F.col("residual") < MAX_RESIDUAL).alias("solved"))
+
+
 @register("feed_models", ORACLE["uploads_models"])
 def q_feed_models(spark, sf_dir):
     """R1 end to end: upload files -> validate -> train and store per name."""

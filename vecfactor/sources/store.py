@@ -249,7 +249,7 @@ def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "uplo
     uploads that produced a model, so a caller learns generated names.
     """
     from vecfactor.functions.names import generated_names
-    from vecfactor.operators import factors as MF
+    from vecfactor.operators import batch_als
     from vecfactor.sources.payloads import accepted, flatten_ratings
     acc = (accepted(parsed)
            .withColumn("model_name", F.coalesce(F.col("model_name"), generated_names("upload_id"))))
@@ -258,6 +258,6 @@ def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "uplo
     chosen = acc.join(winners, ["model_name", order_col], "left_semi").checkpoint(eager=True)
     params = chosen.select("model_name", "rank", "iterations", "reg", "n_ratings")
     ratings = flatten_ratings(chosen).join(params.drop("n_ratings"), "model_name")
-    factors = MF.train_many(ratings, seed, num_blocks)
+    factors = batch_als.train_many(ratings, seed)
     saved = store.save(factors, params)
     return chosen.select("upload_id", "model_name").join(saved, "model_name")
