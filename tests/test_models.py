@@ -94,9 +94,9 @@ def test_failed_save_leaves_no_trace(spark, tmpdir_shared):
     f, m = _factors(spark, "gamma", 1.0)
     st.save(f, m)
     # a save that died after writing its factor files but before its index row
-    orphan = spark.createDataFrame([("user", 9, [7.0, 7.0], "gamma", 2, "dead")],
+    orphan = spark.createDataFrame([("user", 9, [7.0, 7.0], "gamma", "dead")],
                                    "kind string, id int, features array<float>, model_name string, "
-                                   "version long, attempt string")
+                                   "attempt string")
     orphan.write.mode("append").partitionBy("attempt").parquet(st.factors_path)
     assert {r["id"] for r in st.features().collect()} == {1, 2}
     f, m = _factors(spark, "gamma", 3.0)

@@ -32,12 +32,13 @@ def generate_name() -> str:
     return "".join(secrets.choice(NAME_ALPHABET) for _ in range(NAME_LENGTH))
 
 
-def generated_names(*key_cols) -> Column:
-    """A 32-character name per row from the row key and a per-call random nonce.
+def generated_names(*key_cols, nonce: str | None = None) -> Column:
+    """A 32-character name per row from the row key and a nonce.
 
     Hex digits are a subset of the name alphabet; the nonce is a literal in
-    the plan, so a recomputed task yields the same name.
+    the plan, so a recomputed task yields the same name. Without a ``nonce`` each
+    call draws its own; with one (a batch's key) the same batch gets the same names.
     """
-    nonce = secrets.token_hex(16)
+    nonce = secrets.token_hex(16) if nonce is None else nonce
     parts = [F.lit(nonce)] + [_col(c).cast("string") for c in key_cols]
     return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, NAME_LENGTH)

@@ -555,18 +555,39 @@ def _run_feed(q):
         raise q.exception()
 
 
-@register("feed_centers", ORACLE["word_center"])
-def q_feed_centers(spark, sf_dir):
+def _center_feed(spark, sf_dir) -> str:
+    """Word-list requests with the bodies of ``word_payloads`` (every tenth is broken), and for
+    every hundredth document a line that is no JSON at all; returns the output folder."""
     from vecfactor.streaming import feeds
     base = shared_path(spark, "feed_centers")
-    feeds.stage_files(FX.word_lists(spark, sf_dir), f"{base}/in")
+    posted = FX.word_payloads(spark, sf_dir)
+    line = F.to_json(F.struct("list_id", "payload"))
+    cut = F.expr("substr(line, 1, length(line) - 1)")
+    lines = posted.select("list_id", line.alias("line")).select(F.explode(F.when(
+        F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut)).otherwise(F.array("line"))).alias("value"))
+    lines.repartition(4).write.text(f"{base}/in")
     vocab = _vocab(spark, sf_dir)
-    _run_feed(feeds.center_feed(spark, f"{base}/in", vocab, f"{base}/out", f"{base}/ckpt",
-                                max_files_per_trigger=2))
-    cen = feeds.read_output(spark, f"{base}/out")
+    _run_feed(feeds.center_feed(spark, f"{base}/in", vocab, f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2))
+    return f"{base}/out"
+
+
+@register("feed_centers", O.with_(O.FILTERED_CTE, """
+SELECT list_id, dim::BIGINT AS dim, round(value, 6) + 0.0 AS value FROM cdim WHERE list_id % 10 <> 3"""))
+def q_feed_centers(spark, sf_dir):
+    from vecfactor.streaming import feeds
+    cen = feeds.read_output(spark, f"{_center_feed(spark, sf_dir)}/centers")
     return C.center_rows(cen).select("list_id", F.col("dim").cast("long").alias("dim"), _r6("value"))
 
 
+@register("feed_lists_rejected", """
+SELECT doc_id AS list_id, 'Invalid json' AS reason FROM documents WHERE doc_id % 10 = 3
+UNION ALL SELECT NULL, 'Invalid json' FROM documents WHERE doc_id % 100 = 50""")
+def q_feed_lists_rejected(spark, sf_dir):
+    """R2: requests whose line or body is no JSON, with the reason of the reply."""
+    from vecfactor.streaming import feeds
+    return feeds.read_output(spark, f"{_center_feed(spark, sf_dir)}/rejected").select("list_id", "reason")
+
+
 @register("feed_uploads", ORACLE["uploads_validate"])
 def q_feed_uploads(spark, sf_dir):
     from vecfactor.streaming import feeds
@@ -606,12 +627,58 @@ def q_uploads_normal_eq(spark, sf_dir):
                       (F.col("residual") < MAX_RESIDUAL).alias("solved"))
 
 
-@register("feed_models", ORACLE["uploads_models"])
+def _stage_uploads(spark, sf_dir, path, nameless: bool = False):
+    """Uploads in three posts, by item block modulo 3: an upload of a later post is a later
+    request, whatever its id; ``nameless`` leaves out the model name of odd users."""
+    from vecfactor.streaming import feeds
+    ups = FX.rating_uploads(spark, sf_dir).drop("variant")
+    if nameless:
+        odd = F.pmod(F.substring("model_name", 2, 20).cast("int"), F.lit(2)) == 1
+        ups = ups.withColumn("model_name", F.when(~odd, F.col("model_name")))
+    post = F.pmod(F.substring_index("upload_id", "-", -1).cast("int"), F.lit(3))
+    for i in range(3):
+        feeds.stage_files(ups.where(post == i), path, n_files=2)
+
+
+_POSTS_SQL = _UPLOADS_SQL + """,
+good AS (SELECT "user", upload_id, n, split_part(upload_id, '-', 2)::BIGINT % 3 AS post FROM up WHERE "user" % 7 IN (0, 4)),
+win AS (SELECT "user", arg_max(upload_id, {'p': post, 'u': upload_id}) AS upload_id FROM good GROUP BY "user")"""
+
+
+@register("feed_models", O.with_(_POSTS_SQL, """
+SELECT 'm' || w."user" AS model_name, 1::BIGINT AS version, 3 AS rank, u.n::BIGINT AS n_ratings
+FROM win w JOIN up u ON u.upload_id = w.upload_id"""))
 def q_feed_models(spark, sf_dir):
-    """R1 end to end: upload files -> validate -> train and store per name."""
+    """R1 end to end: upload files -> validate -> train and store; the latest post wins."""
     from vecfactor.streaming import feeds
     base = shared_path(spark, "feed_models")
-    feeds.stage_files(FX.rating_uploads(spark, sf_dir).drop("variant"), f"{base}/in")
+    _stage_uploads(spark, sf_dir, f"{base}/in")
     st = ModelStore(spark, f"{base}/store")
     _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", store=st))
     return st.latest().select("model_name", "version", "rank", "n_ratings")
+
+
+@register("feed_replay", O.with_(_POSTS_SQL, """
+SELECT upload_id, CASE WHEN "user" % 2 = 0 THEN 'm' || "user" END AS given_name, 1::BIGINT AS version,
+       CASE WHEN "user" % 2 = 0 THEN length('m' || "user") ELSE 32 END::BIGINT AS name_length, true AS name_ok,
+       1::BIGINT AS n_same_name
+FROM good JOIN win USING ("user", upload_id) WHERE "user" % 2 = 0
+UNION ALL
+SELECT upload_id, NULL, 1, 32, true, 1 FROM good WHERE "user" % 2 = 1"""))
+def q_feed_replay(spark, sf_dir):
+    """R1 and M8: the same batch delivered twice (a feed that lost its progress) leaves one
+    version of every model and the generated names of the first delivery."""
+    from vecfactor.functions.names import NAME_ALPHABET
+    from vecfactor.streaming import feeds
+    base = shared_path(spark, "feed_replay")
+    _stage_uploads(spark, sf_dir, f"{base}/in", nameless=True)
+    st = ModelStore(spark, f"{base}/store")
+    for delivery in ("a", "b"):
+        _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt-{delivery}", store=st, feed_id="f"))
+    live = st.latest().select("upload_id", "model_name", "version").checkpoint(eager=True)
+    same = live.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_same_name"))
+    given = F.when(F.col("model_name") == F.concat(F.lit("m"), F.substring_index(F.expr("substr(upload_id, 2)"), "-", 1)),
+                   F.col("model_name"))
+    return live.join(same, "model_name").select(
+        "upload_id", given.alias("given_name"), "version", F.length("model_name").cast("long").alias("name_length"),
+        (F.translate("model_name", NAME_ALPHABET, "") == "").alias("name_ok"), "n_same_name")

@@ -72,12 +72,15 @@ def users_map_ok(txt: Column, parsed: Column) -> Column:
 def parse_uploads(uploads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Validate and flatten uploads in-row.
 
-    Input: ``upload_id`` and ``payload`` (plus optional ``model_name``).
+    Input: ``upload_id`` and ``payload`` (plus optional ``model_name`` and
+    ``arrived_at``, which is carried along).
     Output columns: ``upload_id, model_name, reason, rank, iterations, reg,
     ratings, n_ratings``; ``reason`` is NULL for an accepted upload.
     """
     has_name = "model_name" in uploads.columns
+    carried = [c for c in ("arrived_at",) if c in uploads.columns]
     base = uploads.select(
+        *carried,
         "upload_id",
         (F.col("model_name") if has_name else F.lit(None).cast("string")).alias("model_name"),
         F.from_json(F.col(payload_col), "map<string,string>").alias("top"))
@@ -91,7 +94,7 @@ def parse_uploads(uploads: DataFrame, payload_col: str = "payload") -> DataFrame
     ratings_txt = _last_value(F.col("top"), "ratings")
     users_map = F.from_json(ratings_txt, "map<string,string>")
     s1 = base.select(
-        "upload_id", "model_name", "top",
+        *carried, "upload_id", "model_name", "top",
         missing.alias("missing"),
         rank_d.try_cast("int").alias("rank"),
         iter_d.try_cast("int").alias("iterations"),
@@ -133,7 +136,7 @@ def parse_uploads(uploads: DataFrame, payload_col: str = "payload") -> DataFrame
             it["ikey"].alias("ikey"), it["pos"].alias("pos"), it["rating"].alias("rating"))))
         return F.struct(u["ikey"].alias("ikey"), s.alias("items"))
     s5 = s4.select(
-        "upload_id", "model_name", "top", "missing", "rank", "iterations", "reg",
+        *carried, "upload_id", "model_name", "top", "missing", "rank", "iterations", "reg",
         ratings_ok.alias("ratings_ok"),
         F.array_sort(F.transform("users", lambda u: F.struct(
             u["ikey"].alias("ikey"), u["pos"].alias("pos"), u["items"].alias("items")))).alias("u_by_int"))
@@ -157,7 +160,7 @@ def parse_uploads(uploads: DataFrame, payload_col: str = "payload") -> DataFrame
                     F.lit("Invalid parameters")))
     ok = reason.isNull()
     return s7.select(
-        "upload_id", "model_name", reason.alias("reason"),
+        *carried, "upload_id", "model_name", reason.alias("reason"),
         F.when(ok, F.col("rank")).alias("rank"),
         F.when(ok, F.col("iterations")).alias("iterations"),
         F.when(ok, F.col("reg")).alias("reg"),
@@ -184,14 +187,35 @@ def flatten_ratings(parsed: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------- word lists
 
-def parse_word_lists(df: DataFrame, payload_col: str = "payload") -> DataFrame:
+def parse_word_lists(df: DataFrame, payload_col: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """``list_id, words ARRAY<STRING>, reason``: a JSON array of strings per row.
 
     Anything that is not a JSON array (malformed text, an object, a bare
     string) is rejected with ``Invalid json``; null elements are dropped.
+    Columns named in ``keep`` are carried along.
     """
     arr = F.from_json(F.col(payload_col), "array<string>")
     return df.select(
-        "list_id",
+        "list_id", *keep,
         F.filter(arr, lambda w: w.isNotNull()).alias("words"),
         F.when(arr.isNull(), F.lit("Invalid json")).alias("reason"))
+
+
+def parse_word_requests(df: DataFrame, line_col: str = "value") -> DataFrame:
+    """``list_id, words, reason, request`` for raw request lines.
+
+    A line is ``{"list_id": 7, "payload": "<body>"}``, the body being what was
+    posted, or ``{"list_id": 7, "words": [...]}``. ``reason`` is NULL for an accepted
+    list. A line that is no such object, or a body that is not a JSON array, is
+    ``Invalid json``; a line without a ``list_id`` is ``Missing list id``. ``request``
+    is the line itself.
+    """
+    line = F.from_json(F.col(line_col), "map<string,string>")
+    body = F.coalesce(F.try_element_at(line, F.lit("payload")), F.try_element_at(line, F.lit("words")))
+    base = df.select(F.col(line_col).alias("request"), F.try_element_at(line, F.lit("list_id")).alias("_id"),
+                     line.isNull().alias("_bad"), body.alias("_body"))
+    base = base.withColumn("list_id", F.col("_id").try_cast("long"))
+    lists = parse_word_lists(base, "_body", keep=("request", "_bad"))
+    reason = (F.when(F.col("_bad") | F.col("words").isNull(), F.lit("Invalid json"))
+              .when(F.col("list_id").isNull(), F.lit("Missing list id")))
+    return lists.select("list_id", "words", reason.alias("reason"), "request")

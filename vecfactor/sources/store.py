@@ -4,28 +4,37 @@ Layout below ``root`` (a folder every executor sees):
 
 * ``factors/``      Parquet partitioned by ``attempt`` (one folder per save
                     batch); columns ``kind ('user'|'item'), id INT,
-                    features ARRAY<FLOAT>, model_name, version``, each model
+                    features ARRAY<FLOAT>, model_name``, each model
                     clustered in few files and sorted, so a name filter skips
                     row groups by their min/max statistics
 * ``index/``        append-only Parquet, one row per operation:
                     ``model_name, version, op ('save'|'delete'), created_at,
-                    rank, iterations, reg, n_ratings, attempt``
+                    rank, iterations, reg, n_ratings, upload_id, attempt, entry``
+* ``commits/``      one small JSON file per operation batch, named by its number:
+                    ``seq, entry, batch_key, op``
 * ``evaluations/``  append-only Parquet: ``model_name, version, evaluated_at,
                     n, n_unknown, mse``
 
 Every operation handles a *batch* of models in one job. Folders are per save
 batch, not per model: many small models do not become many small folders.
-A save writes its new folder first and the index rows last, so a failed save never hides
-the previous version; nothing is overwritten or removed. Versions grow per
-name with every operation; the live version of a name is its highest-version
-index row (of two writers with one version, the later, then the larger attempt
-token) when that row is a save. Every save call writes under a fresh
-``attempt`` token that its index rows name, so files left by a failed save
-(same name and version, no index row) are never read.
+
+A batch becomes visible all at once, by its commit file: factors are written
+first (under a fresh ``attempt`` token), then the index rows (under a fresh
+``entry`` token), then the commit file number ``last + 1`` is created, which fails
+if that number exists. Index rows count only if a commit names their entry, so
+whatever dies before leaves no trace. Of two writers that work at the same time one
+gets the number; the other reads the store again and writes its index rows with
+versions above the winner's (its factor files stay). Versions thus grow per name
+with every operation and are never shared; the live version of a name is its
+highest-version index row when that row is a save.
+
+A commit carries the caller's ``batch_key``: an operation whose key is committed
+already (a replayed micro-batch) changes nothing and returns what the first one did.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +50,20 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("op", T.StringType()), T.StructField("created_at", T.TimestampType()),
     T.StructField("rank", T.IntegerType()), T.StructField("iterations", T.IntegerType()),
     T.StructField("reg", T.DoubleType()), T.StructField("n_ratings", T.LongType()),
-    T.StructField("attempt", T.StringType())])
+    T.StructField("upload_id", T.StringType()), T.StructField("attempt", T.StringType()),
+    T.StructField("entry", T.StringType())])
 FACTOR_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("id", T.IntegerType()),
     T.StructField("features", T.ArrayType(T.FloatType())),
-    T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType()),
-    T.StructField("attempt", T.StringType())])
+    T.StructField("model_name", T.StringType()), T.StructField("attempt", T.StringType())])
+COMMIT_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("entry", T.StringType()),
+    T.StructField("batch_key", T.StringType()), T.StructField("op", T.StringType())])
 EVAL_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()), T.StructField("version", T.LongType()),
     T.StructField("evaluated_at", T.TimestampType()), T.StructField("n", T.LongType()),
     T.StructField("n_unknown", T.LongType()), T.StructField("mse", T.DoubleType())])
 
-# one index row per model in a batch: small, but still checked before broadcast
-_ROW_BYTES = 256
 RATINGS_PER_FILE = 1_000_000
 _MAX_BATCH_BROADCAST = 64 * 1024 * 1024
 
@@ -68,6 +78,7 @@ class ModelStore:
         self.root = root.rstrip("/")
         self.index_path = f"{self.root}/index"
         self.factors_path = f"{self.root}/factors"
+        self.commits_path = f"{self.root}/commits"
         self.evals_path = f"{self.root}/evaluations"
 
     # ------------------------------------------------------------------ reads
@@ -79,8 +90,19 @@ class ModelStore:
                 return self.spark.createDataFrame([], schema)
             raise
 
+    def commits(self) -> DataFrame:
+        """``seq, entry, batch_key, op``: one row per operation batch."""
+        try:
+            return self.spark.read.schema(COMMIT_SCHEMA).json(self.commits_path)
+        except Exception as e:  # noqa: BLE001 - a store without any operation yet
+            if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+                return self.spark.createDataFrame([], COMMIT_SCHEMA)
+            raise
+
     def index(self) -> DataFrame:
-        return self._read(self.index_path, INDEX_SCHEMA)
+        """The committed index rows."""
+        rows = self._read(self.index_path, INDEX_SCHEMA)
+        return rows.join(self.commits().select("entry"), "entry", "left_semi")
 
     def factors(self) -> DataFrame:
         return self._read(self.factors_path, FACTOR_SCHEMA)
@@ -91,18 +113,17 @@ class ModelStore:
     def latest(self) -> DataFrame:
         """Live models: ``model_name, version, created_at, rank, iterations, reg, n_ratings``."""
         last = self.index().groupBy("model_name").agg(
-            F.max_by(F.struct(*[c for c in INDEX_SCHEMA.fieldNames() if c != "model_name"]),
-                     F.struct("version", "created_at", F.coalesce("attempt", F.lit("")))).alias("r"))
+            F.max_by(F.struct(*[c for c in INDEX_SCHEMA.fieldNames() if c != "model_name"]), "version").alias("r"))
         return last.where(F.col("r.op") == "save").select(
             "model_name", "r.version", "r.created_at", "r.rank", "r.iterations", "r.reg", "r.n_ratings",
-            "r.attempt")
+            "r.upload_id", "r.attempt")
 
     def features(self, names: list[str] | None = None) -> DataFrame:
         """Long format ``model_name, version, kind, id, features`` of live versions.
 
         A name list becomes a pushed-down Parquet filter on ``model_name``
         (row groups of other models are skipped); the join with the live
-        ``(model_name, version, attempt)`` rows can prune whole save folders.
+        ``(model_name, attempt)`` rows can prune whole save folders.
         """
         f = self.factors()
         live = self.latest().select("model_name", "version", "attempt")
@@ -111,7 +132,7 @@ class ModelStore:
                 self._check_name(n)
             f = f.where(F.col("model_name").isin(names))
             live = live.where(F.col("model_name").isin(names))
-        return (f.join(live, ["model_name", "version", "attempt"])
+        return (f.join(live, ["model_name", "attempt"])
                 .select("model_name", "version", "kind", "id", "features"))
 
     def features_json(self, chunk_rows: int = 4096, decimals: int | None = None) -> DataFrame:
@@ -159,57 +180,98 @@ class ModelStore:
         return (names.join(cur, "model_name", "left")
                 .withColumn("version", F.coalesce("_v0", F.lit(0)).cast("long") + 1).drop("_v0"))
 
-    def save(self, factors: DataFrame, meta: DataFrame) -> DataFrame:
+    # ------------------------------------------------------------------ commits
+    def _mark(self, seq: int, entry: str, batch_key: str | None, op: str) -> bool:
+        """Create commit number ``seq``; False if it exists (another writer was first)."""
+        line = json.dumps({"seq": seq, "entry": entry, "batch_key": batch_key, "op": op}) + "\n"
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.commits_path}/{seq:020d}.json")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(path, False)
+        except Exception as e:  # noqa: BLE001 - only an existing file means a lost race
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        out.write(bytearray(line.encode("utf-8")))
+        out.close()
+        return True
+
+    def committed(self, batch_key: str | None) -> DataFrame | None:
+        """Index rows of the batch committed under that key; None if there is none."""
+        if batch_key is None:
+            return None
+        entry = self.commits().where(F.col("batch_key") == batch_key).select("entry").first()
+        return None if entry is None else self.index().where(F.col("entry") == entry[0])
+
+    def _publish(self, rows, batch_key: str | None, op: str) -> DataFrame:
+        """Write the index rows that ``rows()`` gives and commit them; a writer that loses the
+        commit number derives its rows again from the store as it is then."""
+        while True:
+            done = self.committed(batch_key)
+            if done is not None:
+                return done
+            seq = (self.commits().agg(F.max("seq")).first()[0] or 0) + 1
+            entry = uuid.uuid4().hex
+            # fixes versions and time for the write and for the caller
+            own = rows().withColumn("entry", F.lit(entry)).select(*INDEX_SCHEMA.fieldNames()).checkpoint(eager=True)
+            own.write.mode("append").parquet(self.index_path)
+            if self._mark(seq, entry, batch_key, op):
+                return own
+
+    def save(self, factors: DataFrame, meta: DataFrame, batch_key: str | None = None) -> DataFrame:
         """Store a batch of models; returns their ``model_name, version`` rows.
 
         ``factors``: ``model_name, kind, id, features``; ``meta``: one row per
-        model with ``model_name, rank, iterations, reg, n_ratings``.
+        model with ``model_name, rank, iterations, reg, n_ratings`` and maybe
+        ``upload_id``.
         """
-        self._check_names(meta)
-        attempt = uuid.uuid4().hex
-        versions = (self._with_versions(meta)
-                    .select("model_name", "version", F.lit("save").alias("op"),
-                            F.current_timestamp().alias("created_at"),
-                            F.col("rank").cast("int"), F.col("iterations").cast("int"),
-                            F.col("reg").cast("double"), F.col("n_ratings").cast("long"),
-                            F.lit(attempt).alias("attempt"))
-                    .checkpoint(eager=True))  # fixes versions and time for both writes
-        n = versions.count()
-        keys, _ = maybe_broadcast(versions.select("model_name", "version", "attempt"),
-                                  n * _ROW_BYTES, _MAX_BATCH_BROADCAST)
+        done = self.committed(batch_key)
+        if done is None:
+            self._check_names(meta)
+            attempt = uuid.uuid4().hex
+            self._write_factors(factors, meta, attempt)
+            upload = F.col("upload_id").cast("string") if "upload_id" in meta.columns else F.lit(None).cast("string")
+            done = self._publish(lambda: self._with_versions(meta).select(
+                "model_name", "version", F.lit("save").alias("op"), F.current_timestamp().alias("created_at"),
+                F.col("rank").cast("int"), F.col("iterations").cast("int"), F.col("reg").cast("double"),
+                F.col("n_ratings").cast("long"), upload.alias("upload_id"), F.lit(attempt).alias("attempt")),
+                batch_key, "save")
+        return done.select("model_name", "version")
+
+    def _write_factors(self, factors: DataFrame, meta: DataFrame, attempt: str) -> None:
+        size = meta.agg(F.sum(F.octet_length("model_name") + 64).alias("b"), F.max("n_ratings").alias("top")).first()
+        keys, _ = maybe_broadcast(meta.select("model_name"), size["b"] or 0, _MAX_BATCH_BROADCAST)
         # a model of many ratings spreads over several files; small ones stay in one
-        top = versions.agg(F.max("n_ratings")).first()[0] or 0
-        spread = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-top // RATINGS_PER_FILE))))
-        (factors.join(keys, "model_name")
-         .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"),
-                 "model_name", "version", "attempt")
+        spread = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-(size["top"] or 0) // RATINGS_PER_FILE))))
+        (factors.join(keys, "model_name", "left_semi")
+         .select("kind", F.col("id").cast("int"), F.col("features").cast("array<float>"), "model_name",
+                 F.lit(attempt).alias("attempt"))
          .repartition("model_name", spread)
          .sortWithinPartitions("model_name", "kind", "id")
          .write.mode("append").partitionBy("attempt").parquet(self.factors_path))
-        versions.select(*INDEX_SCHEMA.fieldNames()).write.mode("append").parquet(self.index_path)
-        return versions.select("model_name", "version")
 
-    def delete(self, names: DataFrame) -> DataFrame:
+    def delete(self, names: DataFrame, batch_key: str | None = None) -> DataFrame:
         """Tombstone live models; returns ``model_name, deleted`` (False when not live)."""
         self._check_names(names)
-        live = self.latest().select("model_name", F.lit(True).alias("_live"))
-        hits = (names.select("model_name").distinct().join(live, "model_name", "left")
-                .select("model_name", F.coalesce("_live", F.lit(False)).alias("deleted")))
-        tomb = (self._with_versions(hits.where("deleted").select("model_name"))
-                .select("model_name", "version", F.lit("delete").alias("op"),
-                        F.current_timestamp().alias("created_at"),
-                        F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("iterations"),
-                        F.lit(None).cast("double").alias("reg"), F.lit(None).cast("long").alias("n_ratings"),
-                        F.lit(None).cast("string").alias("attempt")))
-        hits = hits.checkpoint(eager=True)
-        tomb.write.mode("append").parquet(self.index_path)
-        return hits
+        names = names.select("model_name").distinct().checkpoint(eager=True)
+
+        def rows():
+            live = self.latest().select("model_name")
+            nothing = {c: F.lit(None) for c in ("rank", "iterations", "reg", "n_ratings", "upload_id", "attempt")}
+            return (self._with_versions(names.join(live, "model_name", "left_semi"))
+                    .select("model_name", "version", F.lit("delete").alias("op"),
+                            F.current_timestamp().alias("created_at"),
+                            *[v.cast(INDEX_SCHEMA[c].dataType).alias(c) for c, v in nothing.items()]))
+        gone = self._publish(rows, batch_key, "delete").select("model_name", F.lit(True).alias("_gone"))
+        return (names.join(gone, "model_name", "left")
+                .select("model_name", F.coalesce("_gone", F.lit(False)).alias("deleted")))
 
     def evaluate(self, pairs: DataFrame) -> DataFrame:
         """Score ``model_name, user, item, rating`` against each live model and
         append one evaluation row per model; returns those rows."""
         live = self.latest().select("model_name", "version", "attempt")
-        f = self.factors().join(live, ["model_name", "version", "attempt"])
+        f = self.factors().join(live, ["model_name", "attempt"])
         uf = f.where(F.col("kind") == "user").select("model_name", "version", F.col("id").alias("user"),
                                                      F.col("features").alias("uf"))
         itf = f.where(F.col("kind") == "item").select("model_name", "version", F.col("id").alias("item"),
@@ -236,28 +298,34 @@ class ModelStore:
         return last.select("model_name", "version", "e.*")
 
 
-def train_and_store(store: ModelStore, parsed: DataFrame, order_col: str = "upload_id",
-                    seed: int = 42, num_blocks: int = 10) -> DataFrame:
+def train_and_store(store: ModelStore, parsed: DataFrame, seed: int = 42, batch_key: str | None = None) -> DataFrame:
     """Train and store the models of a batch of parsed uploads (M2, M3, S11).
 
-    An upload without a name gets a generated 32-character name (M8); for a
-    named model the latest accepted upload (``order_col`` orders uploads)
-    wins and is a full retrain on that upload alone. All models of equal
-    parameters are fit together by Spark's distributed ALS
-    (:func:`vecfactor.operators.factors.train_many`), whatever their size, and
-    saved in one batch. Returns ``upload_id, model_name, version`` of the
-    uploads that produced a model, so a caller learns generated names.
+    An upload without a name gets a generated 32-character name (M8). For a named
+    model the latest accepted upload wins and is a full retrain on that upload
+    alone: the latest is the greatest by ``arrived_at`` (if the uploads carry it),
+    then ``upload_id``, then a hash of its content, so there is exactly one. The
+    models are fit together (:mod:`vecfactor.operators.batch_als`); none depends
+    on the others. With a ``batch_key`` generated names derive from (key,
+    upload_id), and a key that is committed already trains and stores nothing.
+    Returns ``upload_id, model_name, version`` of the uploads that produced a
+    model, so a caller learns generated names.
     """
     from vecfactor.functions.names import generated_names
     from vecfactor.operators import batch_als
     from vecfactor.sources.payloads import accepted, flatten_ratings
-    acc = (accepted(parsed)
-           .withColumn("model_name", F.coalesce(F.col("model_name"), generated_names("upload_id"))))
-    winners = acc.groupBy("model_name").agg(F.max(order_col).alias(order_col))
-    # the chosen uploads feed four reads below: materialise them once
-    chosen = acc.join(winners, ["model_name", order_col], "left_semi").checkpoint(eager=True)
-    params = chosen.select("model_name", "rank", "iterations", "reg", "n_ratings")
-    ratings = flatten_ratings(chosen).join(params.drop("n_ratings"), "model_name")
-    factors = batch_als.train_many(ratings, seed)
-    saved = store.save(factors, params)
+    done = store.committed(batch_key)
+    if done is not None:
+        return done.select("upload_id", "model_name", "version")
+    acc = accepted(parsed).withColumn(
+        "model_name", F.coalesce(F.col("model_name"), generated_names("upload_id", nonce=batch_key)))
+    order = [c for c in ("arrived_at",) if c in parsed.columns]
+    acc = acc.withColumn("_at", F.struct(*order, "upload_id", F.xxhash64("rank", "iterations", "reg", "ratings")))
+    last = acc.groupBy(F.col("model_name").alias("_model")).agg(F.max("_at").alias("_last"))
+    # the chosen uploads feed several reads below: materialise them once; equal rows are one upload
+    chosen = (acc.join(last, (F.col("model_name") == F.col("_model")) & F.col("_at").eqNullSafe(F.col("_last")))
+              .select(*parsed.columns).dropDuplicates(["model_name"]).checkpoint(eager=True))
+    params = chosen.select("upload_id", "model_name", "rank", "iterations", "reg", "n_ratings")
+    ratings = flatten_ratings(chosen).drop("upload_id").join(params.drop("n_ratings", "upload_id"), "model_name")
+    saved = store.save(batch_als.train_many(ratings, seed), params, batch_key)
     return chosen.select("upload_id", "model_name").join(saved, "model_name")
