@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOC_SCHEMA, EDGE
-from vecfactor.llm import chat, mixing, packing, quality_rules, sharding
+from vecfactor.llm import chat, mixing, packing, quality_rules, rule_ensemble, sharding, text_stats
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -230,6 +231,54 @@ def test_cascade_order_changes_no_verdict(make_docs):
     assert rate == sorted(rate, reverse=True) and {r.name for r, _, _ in plan} == {r.name for r in rules}
 
 
+def test_rejected_rows_are_not_evaluated_by_later_rules(make_docs):
+    """The last rule fails the job if it ever sees a text of fewer than 50 words."""
+    rows = EDGE + [(400 + i, " ".join(f"word{(i * 31 + j * 7) % 400}" for j in range(80))) for i in range(9)]
+    df = make_docs(rows)
+
+    def prepare(d):
+        seen = F.when(F.col("_w").isNotNull() & (F.size("_w") < 50),
+                      F.raise_error(F.lit("a rejected row was evaluated")))
+        return d.withColumn("_costly", F.when(seen.isNull(), F.size("_w")))
+    costly = quality_rules.Rule("costly", lambda: F.col("_costly") > 10_000, prepare)
+    rules = [quality_rules.length_rule(), quality_rules.symbol_rule(), costly]
+    kept = {r["doc_id"] for r in quality_rules.cascade_filter(df, rules).collect()}
+    assert set(range(400, 409)) <= kept and not kept & {1, 2, 3, 4, 7, 8, 10}
+    d = text_stats.add_word_stats(df.select("doc_id", "text"))
+    assert {r["doc_id"] for r in quality_rules.cascade_verdict(d, rules).where("kept").collect()} == kept
+    with pytest.raises(Exception, match="a rejected row was evaluated"):
+        quality_rules.cascade_filter(df, rules[::-1]).collect()
+
+
+def test_filters_on_results_do_not_repeat_the_work(make_docs):
+    """A filter on a result column costs about what the results themselves cost."""
+    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(20_000))
+    docs = make_docs([(i, long) for i in range(3)])
+    rule = rule_ensemble.PathRule((("log_words", ">", 1.0), ("repeat_ratio", "<=", 0.5)))
+    model = rule_ensemble.RuleModel(0.1, [(rule, 1.0)])
+    scored = rule_ensemble.with_score(docs, model)
+    d = text_stats.add_word_stats(docs.select("doc_id", "text"))
+    verdict = quality_rules.cascade_verdict(d, quality_rules.production_rules())
+    for df, cond in ((verdict, "kept"), (verdict, "NOT kept"), (scored, "score > 0.5"), (d, "n_repeat_words > 1")):
+        df.count()
+        t = [0.0, 0.0]
+        for i, x in enumerate((df, df.where(cond))):
+            for _ in range(2):
+                t0 = time.perf_counter()
+                x.write.format("noop").mode("overwrite").save()
+                t[i] = time.perf_counter() - t0
+        assert t[1] < 3 * t[0] + 1.0
+
+
+def test_cascade_order_is_stable(make_docs):
+    rows = [(i, " ".join(f"word{(i * 31 + j * 7) % 400}" for j in range(10 + i % 90))) for i in range(400)]
+    rows += [(1000 + i, "### " * 60) for i in range(60)] + [(2000 + i, "same three words " * 40) for i in range(50)]
+    df = make_docs(rows)
+    orders = [[r.name for r, _, rej in quality_rules.plan_cascade(df, quality_rules.production_rules()) if rej > 0]
+              for _ in range(5)]
+    assert all(o == orders[0] for o in orders) and orders[0][0] == "length"
+
+
 # ----------------------------------------------------------------- sharding
 
 def check_rows_law(out, shards):

@@ -43,6 +43,14 @@ def with_row(df: DataFrame, **own: Column) -> DataFrame:
     return df.select(F.struct(*cols).alias("_row"), *[c.alias(n) for n, c in own.items()])
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator. A filter on a computed column is otherwise pushed
+    below the projections that compute it and evaluates every step again, once for each
+    use of it; filters do not cross a generator."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_sealed")) \
+        .select("_sealed.*")
+
+
 def unit_hash(*cols, seed: int = 0) -> Column:
     """A uniform number in [0, 1) from the columns (53 bits of a 64-bit hash)."""
     h = F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])

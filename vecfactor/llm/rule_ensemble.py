@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecfactor.llm import text_stats as S
-from vecfactor.llm.common import crc32_text, materialise, text_or_empty, with_row
+from vecfactor.llm.common import crc32_text, materialise, sealed, text_or_empty, with_row
 from vecfactor.session import shared_path
 
 TRAIN_PARTITIONS = 8  # the training rows are bounded, however many partitions the documents have
@@ -36,8 +36,9 @@ FEATURES = ["log_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_
 
 
 def add_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the columns ``FEATURES`` (doubles, never null)."""
-    d = S.add_word_stats(df, text)
+    """Add the columns ``FEATURES`` (doubles, never null), sealed: a filter on a score does
+    not compute them again."""
+    d = S.with_word_stats(df, text)
     n = F.greatest(F.col("n_words"), F.lit(1))
 
     def left(pattern: str) -> Column:
@@ -45,15 +46,15 @@ def add_features(df: DataFrame, text: str = "text") -> DataFrame:
     chars = F.greatest(F.length("_t"), F.lit(1))
     lines = F.greatest(F.size(F.split("_t", "\n", -1)), F.lit(1))
     upper, letters = left("[^A-Z]+"), F.greatest(left("[^A-Za-z]+"), F.lit(1))
-    return (d.withColumn("log_words", F.log1p(F.col("n_words").cast("double")))
-            .withColumn("mean_word", F.col("word_chars") / n)
-            .withColumn("symbol_ratio", F.col("n_symbols") / n)
-            .withColumn("dup_line_ratio", F.col("n_dup_lines") / lines)
-            .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
-            .withColumn("upper_ratio", upper / letters)
-            .withColumn("bang_ratio", left("[^!]+") / n)
-            .withColumn("digit_ratio", left("[^0-9]+") / chars)
-            .drop("_w", "_t", *S.WORD_STATS))
+    d = (d.withColumn("log_words", F.log1p(F.col("n_words").cast("double")))
+         .withColumn("mean_word", F.col("word_chars") / n)
+         .withColumn("symbol_ratio", F.col("n_symbols") / n)
+         .withColumn("dup_line_ratio", F.col("n_dup_lines") / lines)
+         .withColumn("repeat_ratio", F.col("n_repeat_words") / n)
+         .withColumn("upper_ratio", upper / letters)
+         .withColumn("bang_ratio", left("[^!]+") / n)
+         .withColumn("digit_ratio", left("[^0-9]+") / chars))
+    return sealed(d.drop("_w", "_t", *S.WORD_STATS))
 
 
 @dataclass(frozen=True)

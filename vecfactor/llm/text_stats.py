@@ -4,7 +4,8 @@
 ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``. A null
 text counts as empty, and an empty text has all statistics 0. No shuffle, no
 Python: every step is an array expression, linear in the text but for one sort
-of the windows of texts in which some window repeats.
+of the windows of texts in which some window repeats. The result is sealed: a
+filter on a statistic does not evaluate the steps again.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecfactor.llm.common import SPACES, text_or_empty, words
+from vecfactor.llm.common import SPACES, sealed, text_or_empty, words
 
 WORD_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -55,10 +56,15 @@ def add_repeat_words(df: DataFrame, w: str = "_w", out: str = "n_repeat_words")
             .drop("_tri", "_srt"))
 
 
-def add_word_stats(df: DataFrame, text: str = "text") -> DataFrame:
+def with_word_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """``add_word_stats`` without the seal, for callers that seal what they make of it."""
     df = add_words(df, text)
     df = add_repeat_words(df)
     return (df.withColumn("n_words", F.size("_w").cast("long"))
             .withColumn("word_chars", F.length(F.concat_ws("", "_w")).cast("long"))
             .withColumn("n_symbols", n_symbols(F.col("_t")))
             .withColumn("n_dup_lines", n_dup_lines(F.col("_t"))))
+
+
+def add_word_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    return sealed(with_word_stats(df, text))
