@@ -128,3 +128,48 @@ def test_files_of_bounded_size(spark, tmpdir_shared):
     spark.createDataFrame(rows, "word string, vec array<float>").coalesce(1).write.format("word2vec_bin") \
         .mode("append").option("path", out).option("fileBytes", "130").save()
     assert len(os.listdir(out)) == 10 and _words(spark, out) == [w for w, _ in rows]
+
+
+def _reader_bytes(monkeypatch, path, step):
+    """(records, bytes fetched) when every range of the file is read on its own."""
+    from vecfactor.sources import w2v
+    fetched = []
+    load = w2v._Window._load
+
+    def counting(self, start, need_end):
+        load(self, start, need_end)
+        fetched.append(len(self.buf))
+    monkeypatch.setattr(w2v._Window, "_load", counting)
+    reader = w2v._Reader({"path": path, "recordsPerPartition": str(step)})
+    rows = [w for p in reader.partitions() for b in reader.read(p) for w in b.column(0).to_pylist()]
+    return rows, sum(fetched), len(reader.partitions())
+
+
+def test_offset_index_reads_the_file_once(spark, tmpdir_shared, monkeypatch):
+    from vecfactor.sources.w2v import index_vectors
+    p = os.path.join(tmpdir_shared, "big.bin")
+    words = [f"w{i}" * (1 + i % 4) for i in range(3000)]
+    _write(p, words, [[float(i), 32.0, -1.0] for i in range(3000)])
+    uri, size = "file://" + p, os.path.getsize(p)
+    rows, plain, _ = _reader_bytes(monkeypatch, uri, 100)
+    assert rows == words and plain > 5 * size                 # hopping from the first record
+    assert index_vectors(spark, uri, every=50) == 1 and index_vectors(spark, uri, every=50) == 0
+    for step in (100, 70, 1):
+        rows, got, parts = _reader_bytes(monkeypatch, uri, step)
+        assert rows == words and got <= size and parts == (60 if step == 1 else 30)
+    assert [r["word"] for r in sorted(read_vectors(spark, p, 100).collect(), key=lambda r: r["word_idx"])] == words
+    # a file that was replaced is not read by the old index
+    _write(p, words[::-1], [[1.0, 32.0, -1.0]] * 3000)
+    os.utime(p, ns=(1, 1))
+    assert _reader_bytes(monkeypatch, uri, 1000)[0] == words[::-1]
+    assert index_vectors(spark, uri) == 1
+
+
+def test_written_files_have_an_index(spark, tmpdir_shared, monkeypatch):
+    out = os.path.join(tmpdir_shared, "indexed")
+    rows = [(f"w{i}", i, [float(i)]) for i in range(10_000)]
+    write_vectors(spark.createDataFrame(rows, "word string, word_idx long, vec array<float>"), out, n_files=1)
+    names = sorted(os.listdir(out))
+    assert len(names) == 2 and names[0] == f".offsets-{names[1]}"
+    got, fetched, parts = _reader_bytes(monkeypatch, f"file://{out}/{names[1]}", 4096)
+    assert got == [w for w, _, _ in rows] and parts == 3 and fetched <= os.path.getsize(f"{out}/{names[1]}")

@@ -41,9 +41,9 @@ def _r6(c):
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the vocabulary is read by the size check and by the job itself:
-    # a reliable checkpoint in the shared folder computes it once
-    return FX.vocabulary(spark, sf_dir).checkpoint(eager=True)
+    # the vocabulary is read by the size check and by the job itself: computed once, and
+    # as Parquet in the shared folder, so that jobs read only the columns they need
+    return C.save_vocabulary(FX.vocabulary(spark, sf_dir), shared_path(spark, "vocabulary"))
 
 
 def _flists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -540,11 +540,15 @@ def q_model_names(spark, sf_dir):
 @register("w2v_import", O.with_(O.VOCAB_CTE, """
 SELECT word, word_idx, list_transform(vec, lambda x: round(x::DOUBLE, 6) + 0.0) AS vec FROM vocab"""))
 def q_w2v_import(spark, sf_dir):
-    from vecfactor.sources.w2v import read_vectors, write_vectors
+    """Vector files that repeat every word once more with another vector, imported: the first
+    vector of a word in file order is kept."""
+    from vecfactor.sources.w2v import import_vectors, write_vectors
     path = shared_path(spark, "vectors")
-    write_vectors(FX.vocabulary(spark, sf_dir), path, n_files=4)
-    v = read_vectors(spark, path, records_per_partition=200)
-    return v.select("word", "word_idx", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    v = FX.vocabulary(spark, sf_dir).checkpoint(eager=True)
+    again = v.select("word", (F.col("word_idx") + v.count()).alias("word_idx"), F.transform("vec", lambda x: -x).alias("vec"))
+    write_vectors(v.unionByName(again), path, n_files=4)
+    out = import_vectors(spark, path, shared_path(spark, "imported"), records_per_partition=200)
+    return out.select("word", "word_idx", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
 
 
 # ----------------------------------------------------------------- R1, R2: file feeds
@@ -566,8 +570,10 @@ def _center_feed(spark, sf_dir) -> str:
     lines = posted.select("list_id", line.alias("line")).select(F.explode(F.when(
         F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut)).otherwise(F.array("line"))).alias("value"))
     lines.repartition(4).write.text(f"{base}/in")
-    vocab = _vocab(spark, sf_dir)
-    _run_feed(feeds.center_feed(spark, f"{base}/in", vocab, f"{base}/out", f"{base}/ckpt", max_files_per_trigger=2))
+    C.save_vocabulary(FX.vocabulary(spark, sf_dir), f"{base}/vocabulary")
+    _run_feed(feeds.center_feed(spark, f"{base}/in", spark.read.parquet(f"{base}/vocabulary"), f"{base}/out",
+                                f"{base}/ckpt", max_files_per_trigger=2,
+                                stats=C.read_manifest(spark, f"{base}/vocabulary")))
     return f"{base}/out"
 
 

@@ -10,11 +10,15 @@ A path may be one file or a folder of such files (read in name order); the
 the "file order" that decides duplicate words and nearest-word ties.
 
 Reading: records have variable length and float bytes may look like a space,
-so a file cannot be cut at arbitrary byte offsets. Each file is cut into
-record ranges instead; a task memory-maps the file, skips to its first record
-by hopping word-by-word (a ``find`` for the space, then ``4*dim`` bytes), and
-decodes its range into Arrow batches with vectorised gathers. Only the
-headers are read while planning. Import once, then keep the table as Parquet.
+so a file cannot be cut at arbitrary byte offsets. An offset index beside the
+file (``.offsets-<name>``: the byte offset of every ``every``-th record) lets each
+task seek to its record range and read just that: all tasks together read the file
+once. :func:`index_vectors` makes it in one sequential pass per file; files that
+the writer below makes have it from the start. An index whose file has another
+size or age is not used. Without one a task hops word by word from the file's
+first record (a ``find`` for the space, then ``4*dim`` bytes). A range is decoded
+into Arrow batches with vectorised gathers. Only headers and indexes are read while
+planning. Import once, then keep the table as Parquet.
 
 Local paths are memory-mapped; URIs (``file://``, ``hdfs://``, ``s3://``,
 whatever pyarrow's file systems reach) are read through a sliding window of
@@ -103,8 +107,8 @@ class _Window:
     """``find`` and slicing over a remote file through a sliding read window
     (the memory-map interface the scanner uses, for storage without mmap)."""
 
-    def __init__(self, f, window: int):
-        self.f, self.size, self.window = f, f.size(), window
+    def __init__(self, f, window: int, end: int | None = None):
+        self.f, self.size, self.window = f, min(f.size(), end or f.size()), window
         self.lo, self.buf = 0, b""
 
     def _load(self, start: int, need_end: int):
@@ -132,9 +136,83 @@ class _Window:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, first: int, count: int, base_idx: int, dim: int):
+    """``count`` records after skipping ``first`` from byte ``start``; ``end``: where they
+    end, if an index tells."""
+
+    def __init__(self, path: str, start: int, first: int, count: int, base_idx: int, dim: int, end: int | None = None):
         self.path, self.start, self.first, self.count = path, start, first, count
-        self.base_idx, self.dim = base_idx, dim
+        self.base_idx, self.dim, self.end = base_idx, dim, end
+
+
+# ----------------------------------------------------------------- offset index
+
+EVERY = 4096
+_INDEX_HEAD = 5  # file size, age (0: any), records, dimension, every
+
+
+def _index_path(path: str) -> str:
+    folder, name = os.path.split(path)
+    return os.path.join(folder, f".offsets-{name}")
+
+
+def _open_fs(path: str):
+    import pyarrow.fs as pafs
+    return _fs(path) if _is_uri(path) else (pafs.LocalFileSystem(), path)
+
+
+def _state(path: str) -> tuple[int, int]:
+    fs, p = _open_fs(path)
+    info = fs.get_file_info(p)
+    return info.size, info.mtime_ns or 0
+
+
+def _read_index(path: str, n: int, dim: int) -> tuple[int, np.ndarray] | None:
+    """``(every, offsets)`` of a usable index of the file."""
+    import pyarrow.fs as pafs
+    fs, p = _open_fs(_index_path(path))
+    if fs.get_file_info(p).type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(p) as f:
+        raw = np.frombuffer(f.read(), dtype="<i8")
+    size, age = _state(path)
+    if len(raw) <= _INDEX_HEAD or raw[0] != size or raw[1] not in (0, age) or tuple(raw[2:4]) != (n, dim):
+        return None
+    return int(raw[4]), raw[_INDEX_HEAD:]
+
+
+def _index_bytes(size: int, age: int, n: int, dim: int, every: int, offsets) -> bytes:
+    return np.concatenate(([size, age, n, dim, every], offsets)).astype("<i8").tobytes()
+
+
+def build_index(path: str, every: int = EVERY, window: int = 64 * 1024 * 1024) -> int:
+    """Write the offset index of one file; returns the number of offsets."""
+    n, dim, pos = read_header(path)
+    size, age = _state(path)
+    fs, p = _open_fs(path)
+    offsets = []
+    with fs.open_input_file(p) as f:
+        src = _Window(f, window)
+        for first in range(0, n, every):
+            offsets.append(pos)
+            pos = _skip(src, pos, dim, min(every, n - first), path)
+    out = _open_fs(_index_path(path))[1]
+    own = f"{out}-{uuid.uuid4().hex[:8]}"
+    with fs.open_output_stream(own) as f:
+        f.write(_index_bytes(size, age, n, dim, every, offsets))
+    fs.move(own, out)
+    return len(offsets)
+
+
+def index_vectors(spark, path: str, every: int = EVERY) -> int:
+    """Index the files of ``path`` that have none, one task per file; returns their number."""
+    todo = [f for f in _files(_norm(path)) if _read_index(f, *read_header(f)[:2]) is None]
+    if todo:
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([build_index(f, every) for f in b.column(0).to_pylist()],
+                                                           pa.int64())], ["n"])
+        spark.createDataFrame([(f,) for f in todo], "path string").repartition(len(todo)).mapInArrow(run, "n long").count()
+    return len(todo)
 
 
 def _scan(mm, pos: int, dim: int, count: int, path: str):
@@ -174,8 +252,18 @@ class _Reader(DataSourceReader):
         for fp in _files(self.path):
             n, dim, start = read_header(fp)
             step = max(1, self.records_per_partition)
+            index = _read_index(fp, n, dim) if n > step else None
+            if index:
+                every, offsets = index
+                step = -(-step // every) * every
             for first in range(0, n, step):
-                parts.append(_Range(fp, start, first, min(step, n - first), base + first, dim))
+                count = min(step, n - first)
+                if index:
+                    last = (first + step) // every
+                    parts.append(_Range(fp, int(offsets[first // every]), 0, count, base + first, dim,
+                                        int(offsets[last]) if last < len(offsets) else None))
+                else:
+                    parts.append(_Range(fp, start, first, count, base + first, dim))
             base += n
         return parts or [_Range("", 0, 0, 0, 0, 0)]
 
@@ -185,7 +273,7 @@ class _Reader(DataSourceReader):
         if _is_uri(part.path):
             fs, p = _fs(part.path)
             with fs.open_input_file(p) as f:
-                src = _Window(f, self.window_bytes)
+                src = _Window(f, self.window_bytes, part.end)
                 pos = _skip(src, part.start, part.dim, part.first, part.path)
                 yield from self._batches(src, pos, part)
             return
@@ -267,6 +355,11 @@ class _Writer(DataSourceArrowWriter):
                 for record in held:
                     f.write(record)
             files.append((hidden, name))
+            if len(held) > EVERY:
+                ends = np.cumsum([len(f"{len(held)} {dim}\n")] + [len(r) for r in held])
+                with fs.open_output_stream(f"{folder}/{hidden}-offsets") as f:
+                    f.write(_index_bytes(int(ends[-1]), 0, len(held), dim, EVERY, ends[:-1:EVERY]))
+                files.append((f"{hidden}-offsets", f".offsets-{name}"))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -295,8 +388,10 @@ class _Writer(DataSourceArrowWriter):
             for hidden, name in m.files if m else []:
                 fs.move(f"{folder}/{hidden}", f"{folder}/{name}")
         if self.overwrite:
+            there = set(self._names(fs, folder))
             for n in old:
-                fs.delete_file(f"{folder}/{n}")
+                for x in {n, f".offsets-{n}"} & there:
+                    fs.delete_file(f"{folder}/{x}")
         self._clean(fs, folder)
 
     def abort(self, messages):
@@ -346,9 +441,10 @@ def import_vectors(spark, path: str, out: str, records_per_partition: int = 2500
     """Import a vector file (or folder) once into Parquet, one row per word.
 
     A repeated word keeps its first vector in file order, as the lookup of the
-    service did; later jobs read ``out`` with ``spark.read.parquet``.
+    service did. Files without an offset index get one first. Later jobs read the
+    table with ``spark.read.parquet(out)`` and its size from the manifest
+    (:func:`vecfactor.operators.centers.read_manifest`).
     """
-    from vecfactor.operators.centers import dedup_vocabulary
-    vocab = dedup_vocabulary(read_vectors(spark, path, records_per_partition))
-    vocab.write.mode("errorifexists").parquet(out)
-    return spark.read.parquet(out)
+    from vecfactor.operators.centers import dedup_vocabulary, save_vocabulary
+    index_vectors(spark, path)
+    return save_vocabulary(dedup_vocabulary(read_vectors(spark, path, records_per_partition)), out)
