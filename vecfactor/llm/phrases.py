@@ -47,6 +47,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ from vecfactor.session import shared_path
 
 SPACES, SEPARATORS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 _CLASSES = byte_classes(SPACES, SEPARATORS)
-SLICE = 6 << 20
+SLICE = 4 << 20
 PART_TEXT = 32 << 20      # bytes of text for each part of the hash space
 MAX_PART_BITS = 22
 MOST = 255                # counts in blocks stop here; a bound of more asks for this many
@@ -178,8 +179,8 @@ class Bitmaps:
 
     def __init__(self, text_bytes: int, bitmap_bytes: int):
         self.part_bits = min(MAX_PART_BITS, max(0, (text_bytes // PART_TEXT).bit_length()))
-        # one bit for eight bytes of text, within the bound, and a byte for each part at least
-        wanted = max(16, text_bytes.bit_length() - 3)
+        # one bit for 16 bytes of text, within the bound, and a byte for each part at least
+        wanted = max(16, text_bytes.bit_length() - 4)
         self.bits = max(self.part_bits + 3, min(wanted, (8 * bitmap_bytes).bit_length() - 1))
         self.bits = min(self.bits, self.part_bits + 32)
 
@@ -251,10 +252,8 @@ def _ngram_counts(docs: DataFrame, size: int, chosen: Callable[[Slice], np.ndarr
     return rows.groupBy("lang", *cols).agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, field: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, n) of the pairs whose bit is set, exact."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
-
+def pair_counts(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(lang, w1, w2, n) of the pairs whose bit is set in the sent bitmap, exact."""
     def chosen(s: Slice) -> np.ndarray:
         at = np.flatnonzero(s.joined)
         if not len(at):
@@ -266,11 +265,10 @@ def pair_counts(docs: DataFrame, field: np.ndarray) -> DataFrame:
     return _ngram_counts(docs, 2, chosen)
 
 
-def triple_counts(docs: DataFrame, frequent: np.ndarray, grown: np.ndarray, around: np.ndarray) -> DataFrame:
-    """(lang, w1, w2, w3, n), exact, of the triples made of two ``frequent`` pairs whose first
-    pair is ``grown`` or one of whose pairs is in ``around``."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, grown, around))
-
+def triple_counts(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(lang, w1, w2, w3, n), exact, by the sent bitmaps (frequent, grown, around): of the triples
+    made of two ``frequent`` pairs whose first pair is ``grown`` or one of whose pairs is in
+    ``around``."""
     def chosen(s: Slice) -> np.ndarray:
         at = np.flatnonzero(s.joined)
         if not len(at):
@@ -359,10 +357,12 @@ def mine_phrases(docs: DataFrame, k: int = 2000, min_count: int = 10, contained:
     size = Bitmaps(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0, bitmap_bytes)
     raw = written(words_and_blocks(docs, size.part_bits), "raw")
     vocabulary = written(raw.where("w is not null").groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
-    held = bitmap(raw.where("part is not null").select("part", "keys", "counts"), size.part_bits, size.bits,
-                  min(min_count, MOST))
+    sc = spark.sparkContext
+    blocks = raw.where("part is not null").select("part", "keys", "counts")
+    held = sc.broadcast(bitmap(blocks, size.part_bits, size.bits, min(min_count, MOST)))
     enough = F.col("n") >= min_count
     pairs = written(scored_pairs(pair_counts(docs, held).where(enough), vocabulary.where(enough)), "pairs")
+    held.destroy()                                  # a bitmap lives for its one pass
     frequent = size.of(pairs)
 
     floors, triples, wave = None, None, 0
@@ -372,8 +372,9 @@ def mine_phrases(docs: DataFrame, k: int = 2000, min_count: int = 10, contained:
 
         def between(c, todo=todo):
             return todo.where((F.col(c) >= F.col("low")) & (F.col("high").isNull() | (F.col(c) < F.col("high"))))
-        found = triple_counts(docs, frequent, size.of(between("bound")), size.of(between("score"))).where(enough)
-        found = written(scored_triples(found, pairs), f"triples{wave}")
+        sent = sc.broadcast((frequent, size.of(between("bound")), size.of(between("score"))))
+        found = written(scored_triples(triple_counts(docs, sent).where(enough), pairs), f"triples{wave}")
+        sent.destroy()
         triples = found if triples is None else triples.unionByName(found).dropDuplicates(TRIPLE)
         left = written(survivors(pairs, triples, floors, contained), f"survivors{wave}")
         full = left.groupBy("lang").agg((F.count(F.lit(1)) >= k).alias("full"))
