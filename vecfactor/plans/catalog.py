@@ -560,15 +560,18 @@ def _run_feed(q):
 
 
 def _center_feed(spark, sf_dir) -> str:
-    """Word-list requests with the bodies of ``word_payloads`` (every tenth is broken), and for
-    every hundredth document a line that is no JSON at all; returns the output folder."""
+    """Every document's word list as a posted request; besides, every tenth list once more with
+    a broken body and every hundredth once more as a line that is no JSON at all. Returns the
+    output folder."""
     from vecfactor.streaming import feeds
     base = shared_path(spark, "feed_centers")
-    posted = FX.word_payloads(spark, sf_dir)
+    good = FX.word_lists(spark, sf_dir).select("list_id", F.to_json("words").alias("payload"))
+    broken = FX.word_payloads(spark, sf_dir).where(F.pmod("list_id", F.lit(10)) == 3)
     line = F.to_json(F.struct("list_id", "payload"))
     cut = F.expr("substr(line, 1, length(line) - 1)")
-    lines = posted.select("list_id", line.alias("line")).select(F.explode(F.when(
-        F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut)).otherwise(F.array("line"))).alias("value"))
+    lines = good.unionByName(broken.select("list_id", "payload")).select("list_id", line.alias("line")) \
+        .select(F.explode(F.when(F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut))
+                          .otherwise(F.array("line"))).alias("value"))
     lines.repartition(4).write.text(f"{base}/in")
     C.save_vocabulary(FX.vocabulary(spark, sf_dir), f"{base}/vocabulary")
     _run_feed(feeds.center_feed(spark, f"{base}/in", spark.read.parquet(f"{base}/vocabulary"), f"{base}/out",
@@ -577,8 +580,7 @@ def _center_feed(spark, sf_dir) -> str:
     return f"{base}/out"
 
 
-@register("feed_centers", O.with_(O.FILTERED_CTE, """
-SELECT list_id, dim::BIGINT AS dim, round(value, 6) + 0.0 AS value FROM cdim WHERE list_id % 10 <> 3"""))
+@register("feed_centers", ORACLE["word_center"])
 def q_feed_centers(spark, sf_dir):
     from vecfactor.streaming import feeds
     cen = feeds.read_output(spark, f"{_center_feed(spark, sf_dir)}/centers")
@@ -647,7 +649,8 @@ def _stage_uploads(spark, sf_dir, path, nameless: bool = False):
 
 
 _POSTS_SQL = _UPLOADS_SQL + """,
-good AS (SELECT "user", upload_id, n, split_part(upload_id, '-', 2)::BIGINT % 3 AS post FROM up WHERE "user" % 7 IN (0, 4)),
+good AS (SELECT "user", upload_id, n, split_part(upload_id, '-', 2)::BIGINT % 3 AS post FROM up
+  WHERE "user" % 7 IN (0, 4)),
 win AS (SELECT "user", arg_max(upload_id, {'p': post, 'u': upload_id}) AS upload_id FROM good GROUP BY "user")"""
 
 
@@ -680,11 +683,12 @@ def q_feed_replay(spark, sf_dir):
     _stage_uploads(spark, sf_dir, f"{base}/in", nameless=True)
     st = ModelStore(spark, f"{base}/store")
     for delivery in ("a", "b"):
-        _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt-{delivery}", store=st, feed_id="f"))
+        _run_feed(feeds.upload_feed(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt-{delivery}", store=st,
+                                    feed_id="f"))
     live = st.latest().select("upload_id", "model_name", "version").checkpoint(eager=True)
     same = live.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_same_name"))
-    given = F.when(F.col("model_name") == F.concat(F.lit("m"), F.substring_index(F.expr("substr(upload_id, 2)"), "-", 1)),
-                   F.col("model_name"))
+    own = F.concat(F.lit("m"), F.substring_index(F.expr("substr(upload_id, 2)"), "-", 1))
+    given = F.when(F.col("model_name") == own, F.col("model_name"))
     return live.join(same, "model_name").select(
         "upload_id", given.alias("given_name"), "version", F.length("model_name").cast("long").alias("name_length"),
         (F.translate("model_name", NAME_ALPHABET, "") == "").alias("name_ok"), "n_same_name")
