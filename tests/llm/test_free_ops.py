@@ -264,6 +264,51 @@ def test_search_edges(make_docs):
     assert bm25_search.search_documents(make_docs([])).count() == 0
 
 
+def one_shard(rows, queries):
+    """The rows as one loaded shard, the queries as (terms, tfs) over their vocabulary, and every list's length."""
+    words_of = lm_bloom.WordHash()
+    docs = [np.unique(words_of.of(t), return_counts=True) for _, t in rows]
+    lens = [int(c.sum()) for _, c in docs]
+    asked = [np.unique(words_of.of(t), return_counts=True) for t in queries]
+    vocab = np.unique(np.concatenate([u for u, _ in asked]))
+    df = sum(np.isin(vocab, u).astype(int) for u, _ in docs)
+    idf = np.log(1 + (len(rows) - df + .5) / (df + .5))
+    batch = bm25_search._index_row([d for d, _ in rows], lens, [u for u, _ in docs], [c for _, c in docs])
+    shard = bm25_search.Shard({c: v[0] for c, v in batch.to_pydict().items()}, sum(lens) / len(rows), vocab, idf)
+    return shard, [(np.searchsorted(vocab, u), c) for u, c in asked], df
+
+
+def test_search_skips_postings(spark):
+    """Whole documents as queries: results equal brute force, and less is read than all their terms' lists."""
+    rows = [(d, t) for d, t in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+            if t and d is not None]
+    queries = rows[::100]
+    shard, asked, df = one_shard(rows, [t for _, t in queries])
+    read = full = 0
+    brute = brute_bm25(rows, queries[:10], 10)
+    for x, ((q, _), (terms, tfs)) in enumerate(zip(queries, asked)):
+        hits, score = shard.search(terms, tfs, 10, 0.0)
+        if x < 10:
+            assert np.allclose(score, [s for _, s in brute[q]], atol=2e-6)
+        shard.scanned = 0
+        again, same = shard.search(terms, tfs, 10, score[-1])  # the threshold of another shard
+        assert (again == hits).all() and (same == score).all()
+        read, full = read + shard.scanned, full + df[terms].sum()
+    assert read < 0.75 * full
+
+
+def test_ties_do_not_depend_on_shards(spark):
+    """Scores that differ below the sixth digit are ties, in one shard and over many."""
+    rows = [(d, f"alpha beta {'pad ' * (d % 3)}") for d in range(60, 0, -1)] + [(None, "alpha beta ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    qdf = spark.createDataFrame([(1, "beta alpha"), (2, "alpha alpha pad")], "query_id long, text string")
+    runs = [sorted(map(repr, bm25_search.top_k(docs, qdf, k=7, **kwargs).collect()))
+            for kwargs in ({}, {"shard_docs": 1}, {"shard_docs": 5, "seed_every": 2})]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 14
+    got = {r["rank"]: r["doc_id"] for r in bm25_search.top_k(docs, qdf, k=7).where("query_id = 1").collect()}
+    assert got == {1: None, 2: 3, 3: 6, 4: 9, 5: 12, 6: 15, 7: 18}
+
+
 def test_repeated_query_ids(spark, make_docs):
     rows = [(100 + i, f"alpha beta w{i} " + "alpha " * (i % 5)) for i in range(30)]
     rows += [(50, "alpha beta")] * 3 + [(7, "gamma delta"), (8, "gamma")]
