@@ -511,6 +511,27 @@ def q_store_delete(spark, sf_dir):
     return st.delete(gone.unionByName(gone.select(F.upper("model_name").alias("model_name"))))
 
 
+@register("store_vacuum", O.with_(_STORE_CTE, """
+SELECT m.model_name, 2::BIGINT AS version, m.n_ids,
+       (SELECT count(DISTINCT starts_with(model_name, 's')) FROM live) AS folders,
+       (SELECT count(DISTINCT event_type) FROM ev) AS index_rows
+FROM (SELECT model_name, count(*) AS n_ids FROM fac GROUP BY model_name) m"""))
+def q_store_vacuum(spark, sf_dir):
+    """The store of ``build_store`` with its 's' types saved again, so that no model of the first save is live;
+    vacuumed without retention, twice, as merged files go one vacuum later."""
+    st = build_store(spark, sf_dir)
+    f1, m1 = _typed_batch(spark, sf_dir, 1)
+    again = F.col("model_name").startswith("s")
+    st.save(f1.where(again), m1.where(again))
+    st.vacuum(0.0)
+    st.vacuum(0.0)
+    folders = st.factors().agg(F.count_distinct("attempt")).first()[0]
+    index_rows = spark.read.parquet(st.index_path).count()
+    return st.features().groupBy("model_name", "version").agg(F.count(F.lit(1)).alias("n_ids")).select(
+        "model_name", "version", "n_ids", F.lit(folders).cast("long").alias("folders"),
+        F.lit(index_rows).cast("long").alias("index_rows"))
+
+
 # ----------------------------------------------------------------- F12, X3: model names
 
 @register("model_names", """

@@ -14,6 +14,7 @@ Layout below ``root`` (a folder every executor sees):
                     ``seq, entry, batch_key, op``
 * ``evaluations/``  append-only Parquet: ``model_name, version, evaluated_at,
                     n, n_unknown, mse``
+* ``vacuum/``       JSON lists of merged files that are still to be removed
 
 Every operation handles a *batch* of models in one job. Folders are per save
 batch, not per model: many small models do not become many small folders.
@@ -30,11 +31,15 @@ highest-version index row when that row is a save.
 
 A commit carries the caller's ``batch_key``: an operation whose key is committed
 already (a replayed micro-batch) changes nothing and returns what the first one did.
+
+``vacuum`` keeps the folder small: it merges old index and commit files and removes
+factors that no version within the retention needs.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +70,7 @@ EVAL_SCHEMA = T.StructType([
     T.StructField("n_unknown", T.LongType()), T.StructField("mse", T.DoubleType())])
 
 RATINGS_PER_FILE = 1_000_000
+ROWS_PER_INDEX_FILE = 1_000_000
 _MAX_BATCH_BROADCAST = 64 * 1024 * 1024
 
 
@@ -80,6 +86,7 @@ class ModelStore:
         self.factors_path = f"{self.root}/factors"
         self.commits_path = f"{self.root}/commits"
         self.evals_path = f"{self.root}/evaluations"
+        self.vacuum_path = f"{self.root}/vacuum"
 
     # ------------------------------------------------------------------ reads
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
@@ -202,7 +209,9 @@ class ModelStore:
         if batch_key is None:
             return None
         entry = self.commits().where(F.col("batch_key") == batch_key).select("entry").first()
-        return None if entry is None else self.index().where(F.col("entry") == entry[0])
+        # a file merged by a vacuum and not removed yet holds the same rows again
+        return None if entry is None else \
+            self.index().where(F.col("entry") == entry[0]).dropDuplicates(["model_name", "version"])
 
     def _publish(self, rows, batch_key: str | None, op: str) -> DataFrame:
         """Write the index rows that ``rows()`` gives and commit them; a writer that loses the
@@ -298,6 +307,99 @@ class ModelStore:
         return last.select("model_name", "version", "e.*")
 
 
+    # ------------------------------------------------------------------ vacuum
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _list(self, path: str) -> dict[str, int]:
+        """Files or folders directly below the path, with their times in ms."""
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return {}
+        return {str(x.getPath()): x.getModificationTime() for x in fs.listStatus(p)
+                if not x.getPath().getName().startswith(("_", "."))}
+
+    def _remove(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)  # already gone: no effect
+
+    def vacuum(self, retention: float = 7 * 24 * 3600.0) -> dict[str, int]:
+        """Bound the store's files; what readers see does not change.
+
+        ``retention`` (seconds) must exceed the longest save, read and gap between a writer's
+        look at the store and its commit. A version is kept while it was the live one at any
+        time within the retention; deletions are kept like versions, so numbers keep growing.
+
+        * Factor folders that no kept version names, and that are older than the retention,
+          are removed: replaced and deleted models, lost races, saves that died.
+        * Index and commit files older than the retention are merged into few files, without
+          the index rows that are not kept. Commits with a batch key are all kept, so a replay
+          has no effect however late it comes (it then returns the rows that are kept). The
+          merged files are removed by the first vacuum that comes a retention later: until
+          then rows stand twice, which no read minds. A vacuum that dies can be run again.
+
+        Folders and files are listed on the driver (one a save batch, as Spark lists them to
+        read the store); rows stay in Spark. Returns the numbers of removed ``folders`` and
+        ``files`` and of ``merged`` files.
+        """
+        now = time.time()
+        cutoff = int((now - retention) * 1000)
+        done = {"folders": 0, "files": 0, "merged": 0}
+        for marker, at in self._list(self.vacuum_path).items():
+            if at < cutoff:
+                for row in self.spark.read.schema("file string").json(marker).toLocalIterator():
+                    self._remove(row["file"])
+                    done["files"] += 1
+                self._remove(marker)
+        waiting = set()
+        for marker in self._list(self.vacuum_path):
+            waiting.update(r["file"] for r in self.spark.read.schema("file string").json(marker).toLocalIterator())
+        # taken before the rows are read: what comes later is not touched
+        old = {kind: [f for f, at in self._list(path).items() if at < cutoff and f not in waiting]
+               for kind, path in (("index", self.index_path), ("commits", self.commits_path))}
+        folders = {f: at for f, at in self._list(self.factors_path).items() if at < cutoff}
+
+        index = self.index()
+        settled = F.col("created_at") < F.timestamp_millis(F.lit(cutoff))
+        base = index.where(settled).groupBy("model_name").agg(F.max("version").alias("_base"))
+        kept = index.join(base, "model_name", "left").where(
+            F.col("_base").isNull() | (F.col("version") >= F.col("_base")))
+        kept = kept.select(*INDEX_SCHEMA.fieldNames()).dropDuplicates(["model_name", "version"]).checkpoint(eager=True)
+
+        named = {r["attempt"] for r in kept.where("attempt IS NOT NULL").select("attempt").distinct().toLocalIterator()}
+        # rows that are committed at this moment name their folders, those of a save under way are young
+        for folder in folders:
+            if folder.rsplit("=", 1)[-1] not in named and all(t < cutoff for t in self._list(folder).values()):
+                self._remove(folder)
+                done["folders"] += 1
+
+        merged = []
+        if len(old["index"]) > 1:
+            rows = self.spark.read.schema(INDEX_SCHEMA).parquet(*old["index"])
+            rows = kept.join(rows.select("model_name", "version", "entry").distinct(),
+                             ["model_name", "version", "entry"], "left_semi").checkpoint(eager=True)
+            files = -(-rows.count() // ROWS_PER_INDEX_FILE)
+            if files:
+                rows.select(*INDEX_SCHEMA.fieldNames()).repartition(files).write.mode("append").parquet(self.index_path)
+            merged += old["index"]
+        if len(old["commits"]) > 2:  # a merged file and the last number
+            rows = self.spark.read.schema(COMMIT_SCHEMA).json(old["commits"]).dropDuplicates(["seq"])
+            top = self.commits().agg(F.max("seq")).first()[0]
+            needed = kept.select("entry").distinct().withColumn("_kept", F.lit(True))
+            rows = rows.join(needed, "entry", "left").where(
+                F.col("_kept") | F.col("batch_key").isNotNull() | (F.col("seq") == top)).drop("_kept")
+            rows.coalesce(1).write.mode("append").json(self.commits_path)
+            # the file of the last number stays, so that no writer can take it again
+            merged += [f for f in old["commits"] if not f.endswith(f"/{top:020d}.json")]
+        if merged:
+            self.spark.createDataFrame([(f,) for f in merged], "file string").coalesce(1) \
+                .write.json(f"{self.vacuum_path}/{uuid.uuid4().hex}")
+            done["merged"] = len(merged)
+        return done
+
+
 def train_and_store(store: ModelStore, parsed: DataFrame, seed: int = 42, batch_key: str | None = None) -> DataFrame:
     """Train and store the models of a batch of parsed uploads (M2, M3, S11).
 
