@@ -84,6 +84,35 @@ def test_lexicon_finds_words_stems_and_exceptions():
     assert not set(m.entries) & {w[:7] for w in copied.split() if w.startswith("v")}
 
 
+def test_mostly_digit_runs_count_as_whole_entries():
+    m = toxicity.ToxicModel({"idiot": (2.0, False), "boob": (1.0, True), "boobs": (1.5, False), "ass": (3.0, False)},
+                            frozenset({("idiot", "savant"), ("blue", "boobs")}))
+    a = m.automaton()
+    assert m.evidence("you 1d10t and B00B5!", a) == (3.5, 2)
+    assert m.evidence("455 times 8008 or 1d10t9 x1d10t 455.8", a) == (0.0, 0)  # numbers and longer codes
+    assert m.evidence("1d10t savant", a)[1] == 0 and m.evidence("a blue  b00b5", a)[1] == 0
+    far = " " * 500
+    assert m.evidence(f"idiot{far}savant", a)[1] == 0 and m.evidence(f"blue{far}boobs", a)[1] == 0
+
+
+def test_automaton_equals_naive_matching():
+    rnd = random.Random(5)
+    entries = {}
+    for _ in range(60):
+        entries["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5)))] = (rnd.choice([-2.0, 1.0, 3.0, 0.5]), rnd.random() < .5)
+    m = toxicity.ToxicModel(entries)
+    a = m.automaton()
+    for _ in range(200):
+        ws = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(0, 30))]
+        total, n = 0.0, 0
+        for w in ws:
+            found = [(len(e), x) for e, (x, stem) in entries.items() if w == e or (stem and w.startswith(e))]
+            if found:
+                strongest = max(abs(x) for _, x in found)
+                total, n = total + next(x for _, x in sorted(found) if abs(x) == strongest), n + 1
+        assert m.evidence(rnd.choice([" ", ", ", "-"]).join(ws), a) == (pytest.approx(total), n)
+
+
 # ----------------------------------------------------------------- Jaccard join
 
 def brute_components(rows, spec):

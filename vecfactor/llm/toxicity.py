@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 * Folding: lower case, then look-alike letters of other scripts and digits or
-  signs that stand for letters become the plain letter.
+  signs that stand for letters become the plain letter. A run with more digits and
+  signs than letters (a code, mostly) stays as it is and is looked up a second time in
+  its folded form: it counts if that is an entry as a whole; numbers never do.
 * Lexicon: on a bounded, hashed sample of the labelled documents, words and word
   stems (the first 4 to 7 letters) are weighted by the log-odds of the label;
   entries are kept if they are frequent and one-sided enough and stand among
@@ -69,6 +71,16 @@ def fold(text: str) -> str:
     return _LEET_RUN.sub(_unleet, t) if _LEET_SIGN.search(t) else t
 
 
+def _word_before(t: str, start: int) -> str:
+    end = start
+    while end and not (t[end - 1].isalnum() or t[end - 1] == "_"):
+        end -= 1
+    first = end
+    while first and (t[first - 1].isalnum() or t[first - 1] == "_"):
+        first -= 1
+    return t[first:end]
+
+
 @dataclass
 class ToxicModel:
     """``entries``: folded entry -> (weight, is_stem)."""
@@ -102,6 +114,11 @@ class ToxicModel:
                     continue
             if start not in best or abs(weight) > abs(best[start][0]):
                 best[start] = (weight, stop)
+        if _LEET_SIGN.search(t):  # only mostly-digit runs still have such signs beside letters
+            for m in _LEET_RUN.finditer(t):
+                entry = self.entries.get(m.group().translate(_LEET_MAP))
+                if entry and m.start() not in best and any(c.isalpha() for c in m.group()):
+                    best[m.start()] = (entry[0], m.end())
         total, n = 0.0, 0
         for start in sorted(best):
             weight, stop = best[start]
@@ -111,12 +128,12 @@ class ToxicModel:
         return total, n
 
     def _excepted(self, t: str, start: int) -> bool:
-        own = _WORD.match(t, start)
-        nxt = _WORD.search(t, own.end(), own.end() + 200)
-        if nxt and (own.group(), nxt.group()) in self.exceptions:
-            return True
-        before = _WORD.findall(t[max(0, start - 200):start])
-        return bool(before) and (before[-1], own.group()) in self.exceptions
+        word, run = _WORD.match(t, start), _LEET_RUN.match(t, start)
+        own = [word.group()] if word else []
+        own += [run.group().translate(_LEET_MAP)] if run else []  # a mostly-digit run in its folded form
+        after = _WORD.search(t, max(m.end() for m in (word, run) if m))
+        before = _word_before(t, start)
+        return any((before, o) in self.exceptions or bool(after) and (o, after.group()) in self.exceptions for o in own)
 
     def feature(self, total: float, n_chars: int) -> float:
         """Evidence normalised by length: 1,000 characters weigh as 1."""
