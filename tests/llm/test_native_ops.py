@@ -301,6 +301,33 @@ def test_shards(make_docs):
     check_rows_law(few, 24)
 
 
+@pytest.mark.parametrize("epsilon", [0.0, 0.1, 5.0])
+def test_rows_follow_the_ring(spark, epsilon):
+    """Every row alone, in plain Python: the first point clockwise of its key, or the next whose shard has room."""
+    shards, vnodes = 7, 20
+    df = spark.range(900).select(F.concat(F.lit("k"), "id").alias("key"))
+    at = {r["key"]: r["p"] for r in df.select("key", F.xxhash64("key", F.lit(False)).alias("p")).collect()}
+    points = sharding.ring_points(shards, vnodes)
+    cap = [900 // shards + (s < 900 % shards) for s in range(shards)] if not epsilon else \
+        [math.ceil(900 * (1 + epsilon) / shards)] * shards
+    used, want, waiting = [0] * shards, {}, []
+    first = {k: next((i for i, (q, _) in enumerate(points) if q >= p), 0) for k, p in at.items()}
+    for k in sorted(at, key=lambda k: (first[k], at[k])):
+        s = points[first[k]][1]
+        if used[s] < cap[s]:
+            want[k], used[s] = s, used[s] + 1
+        else:
+            waiting.append(k)
+    for k in waiting:
+        i = first[k]
+        while used[points[i % len(points)][1]] >= cap[points[i % len(points)][1]]:
+            i += 1
+        want[k] = points[i % len(points)][1]
+        used[want[k]] += 1
+    got = {r["key"]: r["shard"] for r in sharding.ring_shard(df, "key", shards, vnodes, epsilon).collect()}
+    assert got == want and bool(waiting) == (epsilon < 5)
+
+
 def test_ring_moves_little_and_points_stay(spark):
     assert set(sharding.ring_points(6, 50)) < set(sharding.ring_points(7, 50))
     df = spark.range(6000).withColumnRenamed("id", "key")
