@@ -593,10 +593,11 @@ def _center_feed(spark, sf_dir) -> str:
     lines = good.unionByName(broken.select("list_id", "payload")).select("list_id", line.alias("line")) \
         .select(F.explode(F.when(F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut))
                           .otherwise(F.array("line"))).alias("value"))
-    lines.repartition(4).write.text(f"{base}/in")
+    n_files = feeds.file_count(FX.table(spark, sf_dir, "documents"), "text", least=4)
+    lines.repartition(n_files).write.text(f"{base}/in")
     C.save_vocabulary(FX.vocabulary(spark, sf_dir), f"{base}/vocabulary")
     _run_feed(feeds.center_feed(spark, f"{base}/in", spark.read.parquet(f"{base}/vocabulary"), f"{base}/out",
-                                f"{base}/ckpt", max_files_per_trigger=2,
+                                f"{base}/ckpt", max_files_per_trigger=-(-n_files // 2),
                                 stats=C.read_manifest(spark, f"{base}/vocabulary")))
     return f"{base}/out"
 

@@ -36,6 +36,7 @@ from vecfactor.sources import payloads as P
 
 UPLOAD_SCHEMA = "upload_id string, model_name string, payload string"
 FILES_PER_TRIGGER = 1000
+FILE_BYTES = 64 * 1024 * 1024
 
 
 def _write_batch(df: DataFrame, out: str, batch_id: int):
@@ -106,9 +107,15 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
+def file_count(df: DataFrame, text_col: str, least: int = 1) -> int:
+    """Files for rows that mainly consist of one text: as many as keep each near ``FILE_BYTES``."""
+    n = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(least, -(-n // FILE_BYTES))
+
+
 def stage_files(df: DataFrame, path: str, n_files: int = 4) -> None:
     """Write a DataFrame as JSON-lines files for a feed to pick up."""
     df.repartition(n_files).write.mode("append").json(path)
 
 
-__all__ = ["center_feed", "upload_feed", "read_output", "stage_files"]
+__all__ = ["center_feed", "upload_feed", "read_output", "file_count", "stage_files"]
