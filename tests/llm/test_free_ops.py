@@ -326,6 +326,22 @@ def test_search_skips_postings(spark):
     assert read < 0.75 * full
 
 
+def test_long_lists_kept_as_rows_are_bounded(spark, monkeypatch):
+    """op8: long lists are rows of impacts within a bound, and results do not depend on how many are."""
+    rows = [(d, f"common words here w{d % 3} x{d % 11} " + f"rare{d % 97} " * (1 + d % 4)) for d in range(1500)]
+    queries = [t for _, t in rows[::150]] + ["common common words x1", "rare5"]
+    want = None
+    for cells in (8_000_000, 4 * 1536, 0):
+        monkeypatch.setattr(bm25_search, "DENSE_CELLS", cells)
+        shard, asked, _ = one_shard(rows, queries)
+        assert shard.dense.size <= cells and (len(shard.bmax) > 4) == (cells > 4 * 1536)
+        got = [[x.tolist() for x in shard.search(terms, tfs, 10, 0.0)] for terms, tfs in asked]
+        assert want is None or got == want
+        want = got
+    for (_, score), hits in zip(want, brute_bm25(rows, list(enumerate(queries)), 10).values()):
+        assert np.allclose(score, [s for _, s in hits], atol=2e-6)
+
+
 def test_ties_do_not_depend_on_shards(spark):
     """Scores that differ below the sixth digit are ties, in one shard and over many."""
     rows = [(d, f"alpha beta {'pad ' * (d % 3)}") for d in range(60, 0, -1)] + [(None, "alpha beta ")]
