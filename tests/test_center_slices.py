@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vecfactor.operators import centers as C
-from vecfactor.operators.center_slices import list_sums
+from vecfactor.operators.center_slices import list_sums, write_lists
 
 
 @pytest.fixture()
@@ -67,12 +67,12 @@ def test_slices_give_what_a_join_gives(spark, small_bound):
     assert "Join" not in plan and plan.count("MapInArrow") > 4      # several slices, no token met its vector by a shuffle
 
 
-def test_one_row_per_list_and_slice_leaves_a_task(spark):
+def test_one_row_per_list_and_slice_leaves_a_task(spark, tmpdir_shared):
     vocab = spark.createDataFrame([(f"w{i}", i, [float(i), 1.0]) for i in range(50)],
                                   "word string, word_idx long, vec array<float>")
     lists = spark.createDataFrame([(k, [f"w{(k + i) % 50}" for i in range(400)]) for k in range(30)],
                                   "list_id long, words array<string>")
-    parts = list_sums(lists, vocab, 2, C.vocab_stats(vocab)[2], 700, False)
+    parts = list_sums(write_lists(lists, f"{tmpdir_shared}/lists"), vocab, 2, C.vocab_stats(vocab)[2], 700, False)
     n = parts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
     assert n > 2 and parts.count() <= 30 * n            # 12,000 tokens
     assert parts.agg({"n_words": "sum"}).first()[0] == parts.agg({"n_known": "sum"}).first()[0] == 12_000
