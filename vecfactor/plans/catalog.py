@@ -597,11 +597,14 @@ def _center_feed(spark, sf_dir) -> str:
     lines = good.unionByName(broken.select("list_id", "payload")).select("list_id", line.alias("line")) \
         .select(F.explode(F.when(F.pmod("list_id", F.lit(100)) == 50, F.array(F.col("line"), cut))
                           .otherwise(F.array("line"))).alias("value"))
-    n_files = feeds.file_count(FX.table(spark, sf_dir, "documents"), "text", least=4)
-    lines.repartition(n_files).write.option("compression", "gzip").text(f"{base}/in")   # a file is one task's
+    docs = FX.table(spark, sf_dir, "documents")
+    # each task cuts its own lines into files, nothing is shuffled for it; a file is read by one task
+    per_file = -(-docs.count() // feeds.file_count(docs, "text", least=4))
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file)).text(f"{base}/in")
+    n_files = len(spark.read.text(f"{base}/in").inputFiles())
     C.save_vocabulary(FX.vocabulary(spark, sf_dir), f"{base}/vocabulary")
     _run_feed(feeds.center_feed(spark, f"{base}/in", spark.read.parquet(f"{base}/vocabulary"), f"{base}/out",
-                                f"{base}/ckpt", max_files_per_trigger=-(-n_files // 2),
+                                f"{base}/ckpt", max_files_per_trigger=max(1, -(-n_files // 2)),
                                 stats=C.read_manifest(spark, f"{base}/vocabulary")))
     return f"{base}/out"
 

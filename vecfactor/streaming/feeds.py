@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from vecfactor.operators import centers as C
 from vecfactor.plans.sizing import broadcast_limit
+from vecfactor.session import drop_path, shared_path
 from vecfactor.sources import payloads as P
 
 UPLOAD_SCHEMA = "upload_id string, model_name string, payload string"
@@ -70,11 +71,17 @@ def center_feed(spark: SparkSession, in_path: str, vocab: DataFrame, out: str, c
     small = stats[2] <= broadcast_limit(spark)
 
     def run(batch: DataFrame, batch_id: int):
-        parsed = P.parse_word_requests(batch, "value").checkpoint(eager=True)   # read twice
+        scratch = shared_path(spark, "requests")    # removed with the batch
+        request = F.when(F.col("reason").isNotNull(), F.col("request"))     # only a rejected one is answered
+        P.parse_word_requests(batch, "value").withColumn("request", request) \
+            .write.option("compression", "zstd").parquet(f"{scratch}/parsed")   # read twice
+        parsed = spark.read.parquet(f"{scratch}/parsed")
         good = parsed.where(F.col("reason").isNull()).select("list_id", "words")
-        _write_batch(C.centers(good, vocab, broadcast=small, stats=stats), f"{out}/centers", batch_id)
+        _write_batch(C.centers(good, vocab, broadcast=small, stats=stats, scratch=f"{scratch}/lists"),
+                     f"{out}/centers", batch_id)
         _write_batch(parsed.where(F.col("reason").isNotNull()).select("list_id", "request", "reason"),
                      f"{out}/rejected", batch_id)
+        drop_path(spark, scratch)
     return _start(_files(spark, max_files_per_trigger).text(in_path), run, checkpoint, available_now)
 
 
